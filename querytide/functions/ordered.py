@@ -44,23 +44,30 @@ class OrderedRows:
     def _join_chunks(self, rows: DataFrame, chunks: DataFrame) -> DataFrame:
         return rows.join(chunks, [CHUNK, *self.keys], "left")
 
-    def add_running(self, sums: Mapping[str, Column]) -> OrderedRows:
-        """Add inclusive running sums of the given columns."""
-        names = list(sums)
+    def _add_accumulated(self, values: Mapping[str, Column], total, combine) -> OrderedRows:
+        names = list(values)
         inside = self._inside.rowsBetween(Window.unboundedPreceding, 0)
         earlier = self._chunks.rowsBetween(Window.unboundedPreceding, -1)
         chunks = (
             self.df.groupBy(CHUNK, *self.keys)
-            .agg(*[F.sum(sums[n]).alias(f"_c_{n}") for n in names])
-            .select(CHUNK, *self.keys, *[F.sum(f"_c_{n}").over(earlier).alias(f"_b_{n}") for n in names])
+            .agg(*[total(values[n]).alias(f"_c_{n}") for n in names])
+            .select(CHUNK, *self.keys, *[total(f"_c_{n}").over(earlier).alias(f"_b_{n}") for n in names])
         )
-        rows = self.df.withColumns({n: F.sum(sums[n]).over(inside) for n in names})
+        rows = self.df.withColumns({n: total(values[n]).over(inside) for n in names})
         rows = self._join_chunks(rows, chunks)
-        zero = F.lit(0)
-        rows = rows.withColumns({n: F.coalesce(F.col(n), zero) + F.coalesce(F.col(f"_b_{n}"), zero) for n in names})
+        rows = rows.withColumns({n: combine(F.col(n), F.col(f"_b_{n}")) for n in names})
         self.df = rows.drop(*[f"_b_{n}" for n in names])
         return self
 
+    def add_running(self, sums: Mapping[str, Column]) -> OrderedRows:
+        """Add inclusive running sums of the given columns."""
+        zero = F.lit(0)
+        return self._add_accumulated(sums, F.sum, lambda a, b: F.coalesce(a, zero) + F.coalesce(b, zero))
+
+    def add_running_max(self, values: Mapping[str, Column]) -> OrderedRows:
+        """Add inclusive running maxima, NULL until the first value."""
+        return self._add_accumulated(values, F.max, F.greatest)
+
     def add_row_number(self, name: str) -> OrderedRows:
         """Add a gapless row number from 1 per key."""
         return self.add_running({name: F.lit(1).cast("bigint")})

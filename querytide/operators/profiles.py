@@ -69,10 +69,10 @@ def interval_profile(
     if dates is not None:
         days = on_day_type(dates, day_type, at="date").select("date").distinct()
     else:
-        # One row per key: first and last day seen, every day between them unfolded.
-        span = rows.groupBy(*keys).agg(F.min("date").alias("_a"), F.max("date").alias("_b"))
+        # One row per key; every day between the first and the last one seen is unfolded.
+        found_keys = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
         first, last = rows.agg(F.min("date")).scalar(), rows.agg(F.max("date")).scalar()
-        days = span.select(*keys, F.explode(F.sequence(first, last)).alias("date"))
+        days = found_keys.select(*keys, F.explode(F.sequence(first, last)).alias("date"))
         days = on_day_type(days, day_type, at="date")
     profile = _filled(_grid(days, step), found, [*on, "bucket_s"])
     return profile.withColumn("bucket", _label(F.col("bucket_s")))
@@ -106,7 +106,7 @@ def average_databases(
 def single_day_profile(trace: DataFrame, minutes: int = 10) -> DataFrame:
     """The profile of one 24 h run, on time since its start."""
     step = minutes * 60
-    swept = neighbour_sweep(trace.withColumn("_all", F.lit(0)), ["_all"], payload=["start_us"])
+    swept = neighbour_sweep(trace, (), payload=["start_us"])
     second = F.floor(F.col("start_us") / MICROS)
     found = (
         swept.where(second.between(0, DAY_S - 1))
@@ -117,7 +117,7 @@ def single_day_profile(trace: DataFrame, minutes: int = 10) -> DataFrame:
             F.avg(F.col("n_before") + F.col("n_after")).alias("mean_concurrent"),
         )
     )
-    grid = _grid(trace.sparkSession.range(1).select(), step)
+    grid = _grid(trace.sparkSession.range(1), step).drop("id")
     return _filled(grid, found, ["bucket_s"]).withColumn("bucket", _label(F.col("bucket_s")))
 
 
@@ -164,7 +164,11 @@ def starvation_top_k(waiting: DataFrame, step_us: int, penalty: float, k: int) -
     """
     first = F.ceil(F.col("enter_us") / step_us)
     last = F.ceil(F.col("leave_us") / step_us) - 1
-    seen = waiting.where(first <= last).withColumn("snapshot_us", F.explode(F.sequence(first, last)) * step_us)
+    seen = (
+        waiting.where(first <= last)
+        .withColumn("_step", F.explode(F.sequence(first, last)))
+        .withColumn("snapshot_us", F.col("_step") * step_us)
+    )
     score = (F.col("snapshot_us") - F.col("enter_us")) / MICROS * penalty + F.col("estimate")
     best = Window.partitionBy("snapshot_us").orderBy(F.desc("score"), "query_id")
     return (

@@ -83,7 +83,7 @@ def _swept(runs: DataFrame, profiles: DataFrame, keys: Sequence[str]) -> DataFra
     weights = {
         "rt": F.col("average_s"),
         "scan": F.col("scan_mb"),
-        "card": F.col("sum_card"),
+        "card": F.col("sum_card") * MB,
         "cards": F.col("n_card"),
         "start": F.when(F.col("average_s").isNotNull(), F.col("start_us")),
     }
@@ -103,7 +103,7 @@ def _double(*names: str) -> Column:
 
 
 def _mean_card(total: Column, count: Column) -> Column:
-    return F.when(count > 0, total / count).otherwise(0.0)
+    return F.when(count > 0, total / count / MB).otherwise(0.0)
 
 
 CONTENTION_COLUMNS = (

@@ -138,13 +138,15 @@ def _fill(sql: str, words: dict[str, str]) -> str:
     return sql
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A fixture view, or a driver table, as a DataFrame."""
+def view(spark: SparkSession, sf_dir: str, name: str, **given: DataFrame) -> DataFrame:
+    """A fixture view, or a driver table, as a DataFrame. ``given`` replaces tables, by a stream say."""
+    if name in given:
+        return given[name]
     if name not in _VIEWS:
         return table(spark, sf_dir, name)
     parents, sql = _VIEWS[name]
     base = [t for t in TABLES if re.search(rf"\bFROM {t}\b", sql)]
-    frames = {p: view(spark, sf_dir, p) for p in (*parents, *base)}
+    frames = {p: view(spark, sf_dir, p, **given) for p in (*parents, *base)}
     sql = re.sub(rf"\bFROM ({'|'.join(frames)})\b", r"FROM {\1}", _fill(sql, _SPARK))
     return spark.sql(sql, **frames)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("overlap", "shaping", "profiles", "plans", "stats", "learn")
+_MODULES = ("overlap", "shaping", "profiles", "plans", "stats", "learn", "streams")
 
 
 def load():

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("overlap", "shaping", "profiles", "plans", "stats", "learn", "streams", "workload")
+_MODULES = ("sources", "shaping", "overlap", "profiles", "plans", "stats", "learn", "streams", "workload")
 
 
 def load():

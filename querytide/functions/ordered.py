@@ -5,6 +5,8 @@ are range-partitioned on ``(keys, order)`` instead, so a hot key is spread over
 as many chunks as its size asks for, whatever the order column looks like. A
 window runs inside each chunk, and what earlier chunks of the same key
 contribute comes from a table with one row per (chunk, key).
+
+Input whose size is known to be small skips all that and uses a plain window.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querytide.session import staged
+from querytide.session import is_small, staged
 
 CHUNK = "_chunk"
 
@@ -29,12 +31,16 @@ class OrderedRows:
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
         self.keys = list(keys)
         self.order = list(order)
-        ranged = df.repartitionByRange(*self.keys, *self.order)
-        self.df = staged(ranged.withColumn(CHUNK, F.spark_partition_id()), "ordered")
+        self.chunked = not is_small(df)
+        if self.chunked:
+            ranged = df.repartitionByRange(*self.keys, *self.order)
+            df = staged(ranged.withColumn(CHUNK, F.spark_partition_id()), "ordered")
+        self.df = df
 
     @property
     def _inside(self):
-        return Window.partitionBy(CHUNK, *self.keys).orderBy(*self.order)
+        chunk = [CHUNK] if self.chunked else []
+        return Window.partitionBy(*chunk, *self.keys).orderBy(*self.order)
 
     @property
     def _chunks(self):
@@ -47,6 +53,10 @@ class OrderedRows:
     def _add_accumulated(self, values: Mapping[str, Column], total, combine) -> OrderedRows:
         names = list(values)
         inside = self._inside.rowsBetween(Window.unboundedPreceding, 0)
+        if not self.chunked:
+            nothing = F.lit(None)
+            self.df = self.df.withColumns({n: combine(total(values[n]).over(inside), nothing) for n in names})
+            return self
         earlier = self._chunks.rowsBetween(Window.unboundedPreceding, -1)
         chunks = (
             self.df.groupBy(CHUNK, *self.keys)
@@ -66,7 +76,7 @@ class OrderedRows:
 
     def add_running_max(self, values: Mapping[str, Column]) -> OrderedRows:
         """Add inclusive running maxima, NULL until the first value."""
-        return self._add_accumulated(values, F.max, F.greatest)
+        return self._add_accumulated(values, F.max, lambda a, b: F.greatest(a, F.coalesce(b, a)))
 
     def add_row_number(self, name: str) -> OrderedRows:
         """Add a gapless row number from 1 per key."""
@@ -80,6 +90,9 @@ class OrderedRows:
         """
         if value != self.order[0]:
             raise ValueError("the previous value is kept for the leading order column")
+        if not self.chunked:
+            self.df = self.df.withColumn(name, F.lag(value).over(self._inside))
+            return self
         chunks = (
             self.df.groupBy(CHUNK, *self.keys)
             .agg(F.max(value).alias("_last"))
@@ -91,7 +104,7 @@ class OrderedRows:
         return self
 
     def rows(self) -> DataFrame:
-        return self.df.drop(CHUNK)
+        return self.df.drop(CHUNK) if self.chunked else self.df
 
 
 def with_running(

@@ -114,7 +114,8 @@ def stat_average_runtime(spark, sf):
 
 
 LINES = """slow AS (SELECT query_idx, n_prior::DOUBLE AS x, run_us / isolated_us AS y FROM counted JOIN isolated USING (query_idx) WHERE n_all > 0),
-lines AS (SELECT query_idx, coalesce(regr_slope(y, x), 0) AS slope, coalesce(regr_intercept(y, x), avg(y)) AS intercept FROM slow GROUP BY 1),
+lines AS (SELECT query_idx, CASE WHEN max(x) > min(x) THEN regr_slope(y, x) ELSE 0 END AS slope,
+  CASE WHEN max(x) > min(x) THEN regr_intercept(y, x) ELSE avg(y) END AS intercept FROM slow GROUP BY 1),
 line AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS intercept FROM slow)"""
 
 

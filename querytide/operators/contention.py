@@ -12,8 +12,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querytide.operators.overlap import KEYS, neighbour_max, neighbour_sweep, ordered_pairs
+from querytide.operators.overlap import KEYS, max_over_neighbours, neighbour_sweep, ordered_pairs
 from querytide.operators.shaping import MICROS
+from querytide.session import staged
 
 MB = 1024 * 1024
 
@@ -61,7 +62,9 @@ def data_sharing(
     tables = scans.join(sizes.select(F.col("relname").alias("table_name"), "size_mb"), "table_name").select(
         "query_idx", "table_name", "scan_mb", fraction.alias("_fraction")
     )
-    unfolded = runs.select(*keys, "query_id", "query_idx", "start_us", "run_us").join(tables, "query_idx")
+    unfolded = staged(
+        runs.select(*keys, "query_id", "query_idx", "start_us", "run_us").join(tables, "query_idx"), "unfolded"
+    )
     swept = neighbour_sweep(
         unfolded, [*keys, "table_name"], {"part": F.col("_fraction")}, lookback_us, payload=["scan_mb"]
     )
@@ -79,7 +82,10 @@ def data_sharing(
 
 
 def _swept(runs: DataFrame, profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
-    known = runs.select(*keys, "query_id", "query_idx", "start_us", "run_us").join(profiles, "query_idx", "left")
+    # Written once: the sweep reads its input twice (to find chunk borders, and to shuffle).
+    known = staged(
+        runs.select(*keys, "query_id", "query_idx", "start_us", "run_us").join(profiles, "query_idx", "left"), "known"
+    )
     weights = {
         "rt": F.col("average_s"),
         "scan": F.col("scan_mb"),
@@ -87,8 +93,10 @@ def _swept(runs: DataFrame, profiles: DataFrame, keys: Sequence[str]) -> DataFra
         "cards": F.col("n_card"),
         "start": F.when(F.col("average_s").isNotNull(), F.col("start_us")),
     }
-    swept = neighbour_sweep(known, keys, weights, payload=["query_idx", "start_us", "run_us"])
-    peaks = neighbour_max(known.select(*keys, "query_id", "start_us", "run_us", "max_card"), F.col("max_card"), keys)
+    payload = ["query_idx", "start_us", "run_us", "max_card"]
+    swept = staged(neighbour_sweep(known, keys, weights, payload=payload), "swept")
+    peaks = max_over_neighbours(swept, "max_card", keys)
+    swept = swept.drop("max_card")
     # Runs without an own profile serve as neighbours only.
     own = profiles.where(F.col("isolated_s").isNotNull() & F.col("scan_mb").isNotNull() & F.col("n_card").isNotNull())
     busy = swept.where(F.col("n_before") + F.col("n_after") > 0)

@@ -259,26 +259,29 @@ def concurrency_dataset(
     )
 
 
-def neighbour_max(trace: DataFrame, value: Column, keys: Sequence[str] = KEYS) -> DataFrame:
+def max_over_neighbours(swept: DataFrame, value: str, keys: Sequence[str] = KEYS) -> DataFrame:
     """Largest ``value`` among earlier and among later neighbours, NULL when none.
 
-    Later neighbours are a rank range; earlier ones are the rows whose range
-    holds this row's rank. Neither needs the pairs.
+    ``swept`` is the result of ``neighbour_sweep`` with ``value`` as payload. Later
+    neighbours are a rank range; earlier ones are the rows whose range holds this
+    row's rank. Neither needs the pairs.
     """
-    swept = neighbour_sweep(trace.withColumn("_value", value.cast("double")), keys, payload=["_value"])
-    ranked = staged(
-        swept.select(
-            *keys,
-            "query_id",
-            "_value",
-            "rank",
-            (F.col("rank") + 1).alias("_low"),
-            (F.col("rank") + F.col("n_after")).alias("_high"),
-        ),
-        "ranked",
+    placed = swept.select(
+        *keys,
+        "query_id",
+        F.col(value).cast("double").alias("_value"),
+        "rank",
+        (F.col("rank") + 1).alias("_low"),
+        (F.col("rank") + F.col("n_after")).alias("_high"),
     )
-    return range_max(ranked, keys, "query_id", "_low", "_high", "rank", "_value").select(
+    return range_max(placed, keys, "query_id", "_low", "_high", "rank", "_value").select(
         "query_id",
         F.col("max_covering").alias("max_before"),
         F.col("max_inside").alias("max_after"),
     )
+
+
+def neighbour_max(trace: DataFrame, value: Column, keys: Sequence[str] = KEYS) -> DataFrame:
+    """``max_over_neighbours`` of a trace."""
+    swept = neighbour_sweep(trace.withColumn("_value", value.cast("double")), keys, payload=["_value"])
+    return max_over_neighbours(staged(swept, "ranked"), "_value", keys)

@@ -142,25 +142,25 @@ def fit_slowdown_global(spark, sf):
 
 @register(
     "predict_slowdown", "trace",
-    """SELECT query_id, query_idx, round(greatest((n_prior * slope + intercept) * isolated_us / 1000000, 0.001), 4) AS prediction_s,
+    """SELECT query_id, query_idx, round(greatest((n_prior * slope + intercept) * isolated_us / 1000000, 0.001), 6) AS prediction_s,
   run_us / 1000000 AS label_s FROM counted JOIN isolated USING (query_idx) JOIN lines USING (query_idx)""",
     f"{COUNTED}, {LINES}",
 )
 def predict_slowdown(spark, sf):
     rows, isolated = _fitted(spark, sf)
-    return rounded(s.predict_slowdown(rows, isolated, s.fit_slowdown(rows, isolated)), 4, "prediction_s")
+    return rounded(s.predict_slowdown(rows, isolated, s.fit_slowdown(rows, isolated)), 6, "prediction_s")
 
 
 @register(
     "predict_slowdown_global", "trace",
-    """SELECT query_id, query_idx, round(greatest((n_prior * slope + intercept) * isolated_us / 1000000, 0.001), 4) AS prediction_s,
+    """SELECT query_id, query_idx, round(greatest((n_prior * slope + intercept) * isolated_us / 1000000, 0.001), 6) AS prediction_s,
   run_us / 1000000 AS label_s FROM counted JOIN isolated USING (query_idx), line""",
     f"{COUNTED}, {LINES}",
 )
 def predict_slowdown_global(spark, sf):
     rows, isolated = _fitted(spark, sf)
     line = s.fit_slowdown(rows, isolated, per_query=False)
-    return rounded(s.predict_slowdown(rows, isolated, line, per_query=False), 4, "prediction_s")
+    return rounded(s.predict_slowdown(rows, isolated, line, per_query=False), 6, "prediction_s")
 
 
 @register(

@@ -234,10 +234,10 @@ def graph_root_flags(spark, sf):
 
 @register(
     "graph_tree_edges", "trace plan_nodes",
-    """SELECT c.window_id, c.oid AS source, p.oid AS target, 1.0::DOUBLE AS weight FROM placed c
-JOIN parents x ON x.query_idx = c.query_idx AND x.node_pos = c.node_pos
-JOIN placed p ON p.window_id = c.window_id AND p.query_id = c.query_id AND p.node_pos = x.parent_pos""",
-    f"{WINDOWED}, {PARENTS}",
+    """SELECT c.window_id, c.oid AS source, c.oid - c.bfs_pos + e.parent_bfs AS target, 1.0::DOUBLE AS weight
+FROM placed c JOIN edges e ON e.query_idx = c.query_idx AND e.node_pos = c.node_pos""",
+    f"""{WINDOWED}, {PARENTS}, edges AS MATERIALIZED (SELECT x.query_idx, x.node_pos, p.bfs_pos AS parent_bfs
+  FROM parents x JOIN positions p ON p.query_idx = x.query_idx AND p.node_pos = x.parent_pos)""",
 )
 def graph_tree_edges(spark, sf):
     return g.tree_edges(_windowed(spark, sf), e.with_parents(view(spark, sf, "plan_nodes")))

@@ -30,6 +30,12 @@ def rounded(df, digits=6, *names):
     return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
 
 
+def single(df, *names):
+    """Doubles in single precision: no decimal value lies on its rounding borders, so the two
+    engines agree although their last digits differ."""
+    return df.withColumns({n: F.col(n).cast("float").cast("double") for n in names})
+
+
 def valid(spark, sf):
     return valid_runs(view(spark, sf, "trace"))
 
@@ -142,25 +148,25 @@ def fit_slowdown_global(spark, sf):
 
 @register(
     "predict_slowdown", "trace",
-    """SELECT query_id, query_idx, round(greatest((n_prior * slope + intercept) * isolated_us / 1000000, 0.001), 6) AS prediction_s,
+    """SELECT query_id, query_idx, greatest((n_prior * slope + intercept) * isolated_us / 1000000, 0.001)::FLOAT::DOUBLE AS prediction_s,
   run_us / 1000000 AS label_s FROM counted JOIN isolated USING (query_idx) JOIN lines USING (query_idx)""",
     f"{COUNTED}, {LINES}",
 )
 def predict_slowdown(spark, sf):
     rows, isolated = _fitted(spark, sf)
-    return rounded(s.predict_slowdown(rows, isolated, s.fit_slowdown(rows, isolated)), 6, "prediction_s")
+    return single(s.predict_slowdown(rows, isolated, s.fit_slowdown(rows, isolated)), "prediction_s")
 
 
 @register(
     "predict_slowdown_global", "trace",
-    """SELECT query_id, query_idx, round(greatest((n_prior * slope + intercept) * isolated_us / 1000000, 0.001), 6) AS prediction_s,
+    """SELECT query_id, query_idx, greatest((n_prior * slope + intercept) * isolated_us / 1000000, 0.001)::FLOAT::DOUBLE AS prediction_s,
   run_us / 1000000 AS label_s FROM counted JOIN isolated USING (query_idx), line""",
     f"{COUNTED}, {LINES}",
 )
 def predict_slowdown_global(spark, sf):
     rows, isolated = _fitted(spark, sf)
     line = s.fit_slowdown(rows, isolated, per_query=False)
-    return rounded(s.predict_slowdown(rows, isolated, line, per_query=False), 6, "prediction_s")
+    return single(s.predict_slowdown(rows, isolated, line, per_query=False), "prediction_s")
 
 
 @register(
@@ -396,11 +402,11 @@ errs AS (SELECT *, 'absolute' AS measure, abs(p - l) AS m FROM preds UNION ALL S
 
 def _summary(keys: str, src: str, probs=("50", "90", "95")) -> str:
     parts = ", ".join(f"round(quantile_cont(m, {int(q) / 100}), 6) AS p{q}" for q in probs)
-    return f"SELECT {keys} count(m) AS n, round(avg(m), 6) AS mean, {parts} FROM {src} GROUP BY ALL"
+    return f"SELECT {keys} count(m) AS n, avg(m)::FLOAT::DOUBLE AS mean, {parts} FROM {src} GROUP BY ALL"
 
 
 def _report(df, *more):
-    return rounded(df, 6, "mean", "p50", "p90", *more)
+    return single(rounded(df, 6, "p50", "p90", *more), "mean")
 
 
 @register("eval_overall", "trace", _summary("measure,", "errs"), PREDICTED)

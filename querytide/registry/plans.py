@@ -241,15 +241,15 @@ def plan_min_card(spark, sf):
 @register(
     "plan_table_ids", "plan_nodes table_stats",
     """SELECT query_idx, node_pos, table_id FROM plan_nodes LEFT JOIN (
-  SELECT relname AS table_name, table_id FROM table_stats WHERE table_id % 5 <> 0) USING (table_name)""",
+  SELECT relname AS table_name, table_id FROM table_stats WHERE reltuples > 50000) USING (table_name)""",
 )
 def plan_table_ids(spark, sf):
-    known = view(spark, sf, "table_stats").where("table_id % 5 <> 0")
+    known = view(spark, sf, "table_stats").where("reltuples > 50000")
     return f.with_table_ids(nodes(spark, sf), known).select("query_idx", "node_pos", "table_id")
 
 
 # Scans refer to a column by alias or, every third, by a bare name; other nodes by a bare name.
-REFS = """small AS (SELECT * FROM plan_nodes WHERE table_name IS NULL OR table_name IN ('t1', 't2') OR query_idx % 2 = 0),
+REFS = """small AS (SELECT * FROM plan_nodes WHERE table_name IS NULL OR est_card > 60000),
 refs AS (
   SELECT query_idx, node_pos AS ref_id, table_name,
     CASE WHEN table_name IS NOT NULL AND node_pos % 3 <> 0 THEN table_name || '_a' END AS alias,
@@ -257,7 +257,7 @@ refs AS (
 
 
 def small_nodes(spark, sf):
-    kept = nodes(spark, sf).where("table_name is null or table_name in ('t1', 't2') or query_idx % 2 = 0")
+    kept = nodes(spark, sf).where("table_name is null or est_card > 60000")
     return kept.withColumn("alias", F.concat("table_name", F.lit("_a")))
 
 

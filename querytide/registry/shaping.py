@@ -110,12 +110,11 @@ def trace_realign_start(spark, sf):
 
 @register(
     "trace_from_results", "result_log",
-    f"""SELECT query_id, query_idx, exec_us AS run_us, e2e_us, {SHIFT.replace('{src}', 'kept')} AS start_us
-FROM kept WHERE exec_us >= 0 AND e2e_us >= 0""",
-    "kept AS (SELECT * FROM result_log WHERE query_id >= 100)",
+    f"""SELECT query_id, query_idx, exec_us AS run_us, e2e_us, {SHIFT.replace('{src}', 'result_log')} AS start_us
+FROM result_log WHERE exec_us >= 0 AND e2e_us >= 0""",
 )
 def trace_from_results(spark, sf):
-    return s.trace_from_results(view(spark, sf, "trace"), view(spark, sf, "result_log"), first_id=100)
+    return s.trace_from_results(view(spark, sf, "trace"), view(spark, sf, "result_log"))
 
 
 @register(

@@ -60,7 +60,7 @@ def stat_query_runtime(spark, sf):
 )
 def stat_runtime_merge(spark, sf):
     runs = valid(spark, sf)
-    old, new = runs.where("query_id % 3 > 0"), runs.where("query_id % 3 = 0")
+    old, new = runs.where("engine = 'postgres'"), runs.where("engine = 'redshift'")
     merged = s.merge_moments(s.runtime_moments(old), s.runtime_moments(new))
     return rounded(s.moments_to_statistics(merged), 3, "mean_us", "std_us")
 
@@ -68,11 +68,11 @@ def stat_runtime_merge(spark, sf):
 @register(
     "stat_predict_cached", "trace",
     """SELECT query_id, round((median_us * 0.7 + latest_us * (1 - 0.7)) / 1000000, 6) AS cached_s
-FROM trace LEFT JOIN (SELECT * FROM stats WHERE query_idx % 10 <> 3) USING (query_idx)""",
+FROM trace LEFT JOIN (SELECT * FROM stats WHERE latest_us <= 60000000) USING (query_idx)""",
     f"{VALID}, {STATS}",
 )
 def stat_predict_cached(spark, sf):
-    known = s.query_runtimes(valid(spark, sf)).where("query_idx % 10 <> 3")
+    known = s.query_runtimes(valid(spark, sf)).where("latest_us <= 60000000")
     predicted = s.predict_cached(view(spark, sf, "trace"), known, alpha=0.7, use_median=True)
     return rounded(predicted.select("query_id", "cached_s"), 6, "cached_s")
 
@@ -96,11 +96,11 @@ def stat_predict_feature_hash(spark, sf):
     "stat_predict_staged", "trace plan_nodes",
     """SELECT query_id, round(prediction, 6) AS prediction_s, list_transform([prediction, f1, f2], lambda x: round(x, 6)) AS online
 FROM (SELECT query_id, f1, f2, coalesce(mean_us / 1000000, greatest(0.5 * f1 - 3 * f2, 0.01)) AS prediction
-  FROM trace JOIN feats USING (query_idx) LEFT JOIN (SELECT * FROM stats WHERE query_idx % 10 <> 3) USING (query_idx))""",
+  FROM trace JOIN feats USING (query_idx) LEFT JOIN (SELECT * FROM stats WHERE latest_us <= 60000000) USING (query_idx))""",
     f"{VALID}, {STATS}, feats AS (SELECT query_idx, count(*)::DOUBLE AS f1, sum(est_card) / 1e6 AS f2 FROM plan_nodes GROUP BY 1)",
 )
 def stat_predict_staged(spark, sf):
-    known = s.query_runtimes(valid(spark, sf)).where("query_idx % 10 <> 3")
+    known = s.query_runtimes(valid(spark, sf)).where("latest_us <= 60000000")
     model = 0.5 * F.get("features", F.lit(0)) - 3 * F.get("features", F.lit(1))
     staged_rows = s.predict_staged(view(spark, sf, "trace"), known, _features(spark, sf), model)
     return staged_rows.select(

@@ -33,17 +33,19 @@ def neighbour_sweep(
     weights: Mapping[str, Column] | None = None,
     lookback_us: int | None = None,
     payload: Sequence[str] = ("start_us", "run_us"),
+    weight_type: str = WEIGHT,
 ) -> DataFrame:
     """Counts and weight sums over the neighbours of every row, without a join.
 
     Adds ``rank`` (position by start), ``n_before`` / ``n_after`` (earlier rows
     still running at the start; later rows that start before the end) and, for a
     lookback, ``n_recent`` (rows that ended within it). Each weight ``w`` yields
-    ``w_before``, ``w_after`` and ``w_recent`` as exact decimals.
+    ``w_before``, ``w_after`` and ``w_recent`` as exact decimals (whole weights may be
+    summed as ``bigint``).
     """
     weights = dict(weights or {})
     start, end = F.col("start_us"), F.col("start_us") + F.col("run_us")
-    weighted = trace.withColumns({f"_{w}": F.coalesce(c, F.lit(0)).cast(WEIGHT) for w, c in weights.items()})
+    weighted = trace.withColumns({f"_{w}": F.coalesce(c, F.lit(0)).cast(weight_type) for w, c in weights.items()})
     one = F.lit(1)
     adds = {"n": one, **{w: F.col(f"_{w}") for w in weights}}
     opened = Mark("start", start, F.lit(1), 0, {f"opened_{a}": c for a, c in adds.items()})
@@ -63,7 +65,7 @@ def neighbour_sweep(
         marks.append(Mark("past", start - lookback_us, F.lit(2), 0, {}))
         read |= {f"_{a}_past": ("past", f"ended_{a}") for a in adds}
     types = {
-        f"{side}_{a}": "bigint" if a == "n" else WEIGHT for a in adds for side in ("opened", "ended")
+        f"{side}_{a}": "bigint" if a == "n" else weight_type for a in adds for side in ("opened", "ended")
     }
     kept = [*payload, *[f"_{w}" for w in weights]]
     at = sweep(weighted, keys, "query_id", marks, read, types, kept)

@@ -9,6 +9,7 @@ generalised Jaccard similarity of their weights, sum of minima over sum of maxim
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,8 +129,12 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return rows.withColumns({"at": F.row_number().over(order), "next_text": F.lead("text").over(order)})
 
 
-def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """One row per row of ``docs``: id, ``n_chars``, ``edited_text``, both signatures and that of the next document.
+def edited_pairs(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, edited: Callable[[Column], Column] = lambda text: text
+) -> DataFrame:
+    """One row per row of ``docs``: id, ``n_chars``, ``edited``, both signatures and that of the next document.
+
+    ``edited`` is the edited text, or what the given function makes of it before rows are joined with signatures.
 
     The edited text is the text with its last floor(n / 2) code points replaced by as many first ones of the next
     document (all, if it has fewer). A null text is an empty one. Rows that share an id follow each other by text;
@@ -153,5 +158,5 @@ def edited_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     order = Window.partitionBy("block").orderBy("at")
     sigs = sigs.withColumn("next_sig", F.coalesce(F.lead("sig").over(order), "sig"))
-    joined = rows.select("block", "at", "extra", "doc", "n_chars", F.col("edited").alias("edited_text")).join(sigs, ["block", "at"])
-    return joined.where("extra = 0").select(F.col("doc").alias(id_col), "n_chars", "edited_text", "sig", "edited_sig", "next_sig")
+    joined = rows.select("block", "at", "extra", "doc", "n_chars", edited(F.col("edited")).alias("edited")).join(sigs, ["block", "at"])
+    return joined.where("extra = 0").select(F.col("doc").alias(id_col), "n_chars", "edited", "sig", "edited_sig", "next_sig")

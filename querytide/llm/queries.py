@@ -49,9 +49,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = fingerprints.edited_pairs(table(sf_dir, spark))
+    made = fingerprints.edited_pairs(table(sf_dir, spark), edited=lambda text: F.sha2(text.cast("binary"), 256))
     return made.select(
-        "doc_id", "n_chars", F.sha2(F.col("edited_text").cast("binary"), 256).alias("edited_sha256"),
+        "doc_id", "n_chars", F.col("edited").alias("edited_sha256"),
         fingerprints.fingerprint(F.col("sig")).alias("fingerprint"),
         fingerprints.fingerprint(F.col("edited_sig")).alias("edited_fingerprint"),
         fingerprints.likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),

@@ -9,6 +9,9 @@ order of tokens that is the same for all sets. Candidates must do so under three
 
 Sketches of fixed size, counted over all documents, tell which tokens are hot and how frequent words are.
 They only shape the orders: every count gives a valid order, so nothing is lost by their collisions.
+
+Before the orders B and C a parity sketch is looked at: each token flips one of 512 bits, so two sketches
+differ in no more bits than the sets do in tokens, and a pair with too many can't be similar enough.
 """
 
 from __future__ import annotations
@@ -28,8 +31,10 @@ from querytide.session import staged
 SHINGLE_BITS = 20
 WORD_BITS = 18
 CHUNK = 4096
-# Rows of ids up to which they are broadcast to find their texts; beyond, the texts are joined by shuffle.
-BROADCAST_ROWS = 500_000
+# Parity sketch, in words of 64 bits.
+PARITY = [f"o{i}" for i in range(8)]
+# Rows of ids or tokens, of 16 bytes, up to which they are broadcast; beyond, they are joined by shuffle.
+BROADCAST_ROWS = 1_000_000
 _SALTS = mixed(np.arange(11, 20, dtype=np.uint64))
 
 
@@ -116,10 +121,14 @@ def _prefixes(width: int, similarity: int, sketches, names: list[str]):
                 orders += [hot << np.uint64(58) | k >> np.uint64(6) for k in keys[1:]]
                 heads = [np.argpartition(o, p - 1)[:p] if p < n else np.arange(n) for o in orders]
                 low = [int(_signed(mixed(tokens ^ s).min(keepdims=True))[0]) for s in _SALTS[3:6]]
-                row = (set_hash(tokens), n, float(hot.mean()), *low, _signed(tokens[heads[0]]), *[(keys[k][heads[k]] >> np.uint64(33)).astype(np.int32) for k in (1, 2)])
+                flips = np.bincount((mixed(tokens ^ _SALTS[6]) >> np.uint64(55)).astype(np.int64), minlength=64 * len(PARITY)) & 1
+                parity = np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()
+                # Sixteen bits of the tokens will do for B and C, where equal ones are only looked for in pairs.
+                others = [(keys[k][heads[k]] >> np.uint64(48)).astype(np.uint16).view(np.int16) for k in (1, 2)]
+                row = (set_hash(tokens), n, float(hot.mean()), *low, *parity, _signed(tokens[heads[0]]), *others)
                 for column, value in zip(columns, row):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * 3, pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * (3 + len(PARITY)), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int16())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return run
@@ -177,8 +186,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.where("chunk IS NULL").select("doc", "n", "node")
     firsts = staged(rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc")), "classes")
 
-    names = ["node", "n", "hot", "m0", "m1", "m2", "a", "b", "c"]
-    schema = "node long, n long, hot double, m0 long, m1 long, m2 long, a array<long>, b array<int>, c array<int>"
+    names = ["node", "n", "hot", "m0", "m1", "m2", *PARITY, "a", "b", "c"]
+    schema = "node long, n long, hot double, m0 long, m1 long, m2 long, " + "".join(f"{o} long, " for o in PARITY) + "a array<long>, b array<short>, c array<short>"
     classes = docs.mapInArrow(_prefixes(width, similarity, sketches, names), schema).dropDuplicates(["node"])
     classes = staged(classes, "prefixes")
 
@@ -196,17 +205,24 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # Then every pair that shares a prefix token under each order and isn't connected yet.
     near = classes.join(joined, "node", "left").withColumn("part", F.coalesce("component", "node"))
     held = near.select("node", "part", F.explode("a").alias("token"))
-    mixed_tokens = held.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token")
-    held = held.join(staged(mixed_tokens, "tokens"), "token").join(classes.select("node", "n", "b", "c"), "node")
-    held = staged(held, "held")
-    x = held.select(F.col("token").alias("tokenx"), *[F.col(c).alias(f"{c}x") for c in ("node", "part", "n", "b", "c")])
-    y = held.select(F.col("token").alias("tokeny"), *[F.col(c).alias(f"{c}y") for c in ("node", "part", "n", "b", "c")])
+    tokens = staged(held.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token"), "tokens")
+    if tokens.count() <= BROADCAST_ROWS:
+        tokens = F.broadcast(tokens)
+    carried = ["node", "part", "n", *PARITY]
+    held = held.select("node", "token").join(tokens, "token").join(near.select(*carried), "node")
+    held = staged(held.select("token", *carried), "held")
+    x = held.select(F.col("token").alias("tokenx"), *[F.col(c).alias(f"{c}x") for c in carried])
+    y = held.select(F.col("token").alias("tokeny"), *[F.col(c).alias(f"{c}y") for c in carried])
+    flipped = sum((F.bit_count(F.col(f"{o}x").bitwiseXOR(F.col(f"{o}y"))) for o in PARITY), F.lit(0))
     pairs = x.join(
         y.hint("merge"),
         (F.col("tokenx") == F.col("tokeny")) & (F.col("nodex") < F.col("nodey")) & (F.col("partx") != F.col("party"))
         & (100 * F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
-        & F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy"),
+        & ((100 + similarity) * flipped <= (100 - similarity) * (F.col("nx") + F.col("ny"))),
     ).select(F.col("nodex").alias("x"), F.col("nodey").alias("y")).distinct()
+    pairs = staged(pairs, "candidates")
+    bx, by = (classes.select(F.col("node").alias(e), F.col("b").alias(f"b{e}"), F.col("c").alias(f"c{e}")) for e in "xy")
+    pairs = pairs.join(bx, "x").join(by, "y").where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y")
     links = _verified(pairs, docs, firsts, width, similarity, "pairs")
 
     found = staged(components(joined.toDF("x", "y").union(links)), "components")

@@ -10,8 +10,9 @@ order of tokens that is the same for all sets. Candidates must do so under three
 Sketches of fixed size, counted over all documents, tell which tokens are hot and how frequent words are.
 They only shape the orders: every count gives a valid order, so nothing is lost by their collisions.
 
-Before the orders B and C a parity sketch is looked at: each token flips one of 512 bits, so two sketches
-differ in no more bits than the sets do in tokens, and a pair with too many can't be similar enough.
+Before the orders B and C, and before the count, parity sketches are looked at: each token flips one bit, so two
+sketches differ in no more bits than the sets do in tokens, and a pair with too many can't be similar enough. One of
+512 bits goes with every shared token; one of at least two bits a token stays with the document.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,12 +124,15 @@ def _prefixes(width: int, similarity: int, sketches, names: list[str]):
                 low = [int(_signed(mixed(tokens ^ s).min(keepdims=True))[0]) for s in _SALTS[3:6]]
                 flips = np.bincount((mixed(tokens ^ _SALTS[6]) >> np.uint64(55)).astype(np.int64), minlength=64 * len(PARITY)) & 1
                 parity = np.packbits(flips.astype(np.uint8)).view(np.int64).tolist()
+                wide = max(64, 1 << (2 * n - 1).bit_length())
+                flips = np.bincount((mixed(tokens ^ _SALTS[6]) & np.uint64(wide - 1)).astype(np.int64), minlength=wide) & 1
+                wide_parity = np.packbits(flips.astype(np.uint8)).view(np.int64)
                 # Sixteen bits of the tokens will do for B and C, where equal ones are only looked for in pairs.
                 others = [(keys[k][heads[k]] >> np.uint64(48)).astype(np.uint16).view(np.int16) for k in (1, 2)]
-                row = (set_hash(tokens), n, float(hot.mean()), *low, *parity, _signed(tokens[heads[0]]), *others)
+                row = (set_hash(tokens), n, float(hot.mean()), *low, *parity, wide_parity, _signed(tokens[heads[0]]), *others)
                 for column, value in zip(columns, row):
                     column.append(value)
-            kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * (3 + len(PARITY)), pa.list_(pa.int64()), pa.list_(pa.int16()), pa.list_(pa.int16())]
+            kinds = [pa.int64(), pa.int64(), pa.float64(), *[pa.int64()] * (3 + len(PARITY)), *[pa.list_(pa.int64())] * 2, pa.list_(pa.int16()), pa.list_(pa.int16())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
 
     return run
@@ -143,9 +147,22 @@ def _token_sets(width: int):
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, similarity: int, label: str) -> DataFrame:
-    """Those of the ``pairs`` (x, y) of classes whose sets are similar enough, written out."""
-    pairs = staged(pairs, f"{label}-pairs")
+def _flips(a: Column, b: Column) -> Column:
+    """In how many bits two sketches differ, the longer one folded to the length of the other."""
+    size = F.least(F.size(a), F.size(b))
+
+    def fold(s: Column) -> Column:
+        halves = F.zip_with(F.slice(s, F.lit(1), size), F.slice(s, size + 1, size), lambda p, q: p.bitwiseXOR(q))
+        return F.when(F.size(s) > size, halves).otherwise(s)
+
+    return F.aggregate(F.zip_with(fold(a), fold(b), lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda n, v: n + v)
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, similarity: int, label: str) -> DataFrame:
+    """Those of the ``pairs`` (x, y) of classes whose sets are similar enough, written out. ``pairs`` is a written table."""
+    wide = [classes.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("parity").alias(f"p{e}")) for e in "xy"]
+    few = (100 + similarity) * _flips(F.col("px"), F.col("py")) <= (100 - similarity) * (F.col("nx") + F.col("ny"))
+    pairs = staged(pairs.join(wide[0], "x").join(wide[1], "y").where(few).select("x", "y"), f"{label}-pairs")
     nodes = staged(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(firsts, "node"), f"{label}-nodes")
     ids = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
     # A class's text is that of any row with its id whose set has its hash: with repeated ids there may be several texts.
@@ -177,6 +194,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     (null, empty or only white space) has no shingle, no link and its own id. Rows that share an id are
     separate rows with their own texts. Null ids don't count for the smallest one. Extra columns are left out.
     """
+    if not 50 <= similarity <= 100:
+        raise ValueError("similarity is a percentage from 50 to 100")
     docs = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
     kind = docs.schema["doc"].dataType
     names = ["doc", "n", "node", "chunk", "counts"]
@@ -186,8 +205,8 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.where("chunk IS NULL").select("doc", "n", "node")
     firsts = staged(rows.where("n > 0").groupBy("node").agg(F.min("doc").alias("doc")), "classes")
 
-    names = ["node", "n", "hot", "m0", "m1", "m2", *PARITY, "a", "b", "c"]
-    schema = "node long, n long, hot double, m0 long, m1 long, m2 long, " + "".join(f"{o} long, " for o in PARITY) + "a array<long>, b array<short>, c array<short>"
+    names = ["node", "n", "hot", "m0", "m1", "m2", *PARITY, "parity", "a", "b", "c"]
+    schema = "node long, n long, hot double, m0 long, m1 long, m2 long, " + "".join(f"{o} long, " for o in PARITY) + "parity array<long>, a array<long>, b array<short>, c array<short>"
     classes = docs.mapInArrow(_prefixes(width, similarity, sketches, names), schema).dropDuplicates(["node"])
     classes = staged(classes, "prefixes")
 
@@ -199,7 +218,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     centres = staged(centres.select("key", F.col("top.node").alias("y"), F.col("top.n").alias("ny")), "centres")
     alike = 100 * F.least("n", "ny") >= similarity * F.greatest("n", "ny")
     stars = keyed.join(centres, "key").where(alike & (F.col("node") != F.col("y"))).select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
-    stars = _verified(stars, docs, firsts, width, similarity, "stars")
+    stars = _verified(staged(stars, "stars"), classes, docs, firsts, width, similarity, "stars")
     joined = staged(components(stars), "joined")
 
     # Then every pair that shares a prefix token under each order and isn't connected yet.
@@ -223,7 +242,7 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pairs = staged(pairs, "candidates")
     bx, by = (classes.select(F.col("node").alias(e), F.col("b").alias(f"b{e}"), F.col("c").alias(f"c{e}")) for e in "xy")
     pairs = pairs.join(bx, "x").join(by, "y").where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y")
-    links = _verified(pairs, docs, firsts, width, similarity, "pairs")
+    links = _verified(staged(pairs, "ordered"), classes, docs, firsts, width, similarity, "pairs")
 
     found = staged(components(joined.toDF("x", "y").union(links)), "components")
     smallest = found.join(firsts, "node").groupBy("component").agg(F.min("doc").alias("component_id"))

@@ -65,14 +65,14 @@ def pretoken_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 class PieceTable:
-    """Open addressing from piece hash to a run of ids, in numpy arrays; forgets all when ``most`` pieces are in it."""
+    """Open addressing from piece hash to a run of ids, in numpy arrays, for ``most`` pieces."""
 
     def __init__(self, most: int = 1 << 20):
         self.most = most
         self.bits = most.bit_length() + 1
-        self._clear()
+        self.forget()
 
-    def _clear(self) -> None:
+    def forget(self) -> None:
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.slots = np.full(1 << self.bits, -1, np.int32)
         self.n = 0
@@ -95,8 +95,6 @@ class PieceTable:
 
     def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
         """New distinct hashes, whose ids stand one after the other in ``ids``."""
-        if self.n + len(hashes) > self.most:
-            self._clear()
         n, used = self.n + len(hashes), self.used + len(ids)
         if n > len(self.begins):
             self.begins, self.sizes = np.resize(self.begins, 2 * n), np.resize(self.sizes, 2 * n)
@@ -142,11 +140,13 @@ def encode_texts(
         new, first = np.unique(hashes[unknown], return_index=True)
         first = unknown[first]
         data = raw.tobytes()
+        if table.n + len(new) > table.most:
+            table.forget()
+            if len(np.unique(hashes)) > table.most // 2:
+                return _large(hashes, starts, ends, data, offsets, encode)
+            return encode_texts(raw, offsets, table, encode)  # an empty table holds all of them
         ids, sizes = encode([data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
-        full = table.n + len(new) > table.most
         table.add(new, ids, sizes)
-        if full:  # what was known is forgotten: ask for all pieces anew
-            return encode_texts(raw, offsets, table, encode) if len(new) < table.most // 2 else _large(hashes, starts, ends, data, offsets, encode)
         entries[unknown] = table.find(hashes[unknown])
     sizes = table.sizes[entries]
     ids = table.ids[ragged(table.begins[entries], sizes)]
@@ -155,7 +155,7 @@ def encode_texts(
 
 
 def _large(hashes, starts, ends, data, offsets, encode):
-    """A single text with more pieces than the table holds: its pieces are encoded without it."""
+    """More distinct pieces at once than the table should hold: they are encoded without it."""
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
     ids, own = encode([data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
     begins = np.cumsum(own) - own

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 # The white space of the contracts: [\x20\x09-\x0D].
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 # Bytes of text that one numpy pass works on; a longer text is a pass of its own.
-PASS_BYTES = 2 << 20
+PASS_BYTES = 1 << 19
 
 
 def without(df: DataFrame, *names: str) -> DataFrame:

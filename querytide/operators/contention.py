@@ -252,8 +252,8 @@ def contention_score(parameters: Mapping[str, float] | None = None) -> Column:
     alone = p["r1"] * F.col("isolated_s") + p["r2"] * average - io
     cpu = F.least(n, limit) / some * others / average
     load = F.log(
-        p["m1"] * _pressure(top, top_near, top_near / (top_near + top), p)
-        + p["m2"] * _pressure(mean, mean_near, mean_near / (mean_near + mean), p)
+        p["m1"] * _pressure(top, top_near, _share(top_near, top), p)
+        + p["m2"] * _pressure(mean, mean_near, _share(mean_near, mean), p)
         + 0.0001
     ) * F.log(p["m1"] * top + p["m2"] * mean + 0.0001)
     memory = _at_least(load, 0)
@@ -261,6 +261,12 @@ def contention_score(parameters: Mapping[str, float] | None = None) -> Column:
     return _at_least(waiting + io + slowdown * alone, 0.01)
 
 
+def _share(part: Column, rest: Column) -> Column:
+    """``part`` of the sum of both; 0 where the sum is 0."""
+    whole = part + rest
+    return F.when(whole == 0, F.lit(0.0)).otherwise(F.try_divide(part, whole))
+
+
 def _split_parts(p: Mapping[str, float], least_left: float) -> dict[str, Column]:
     """What both split formulas share: running fraction, queueing and IO speed."""
     pre, post = F.col("n_pre"), F.col("n_post")
@@ -283,7 +289,7 @@ def _split_memory(level: str, p: Mapping[str, float], scale: float, floor: float
     """Own share of the pressure with earlier and with later neighbours, relative to the memory."""
     own = F.col(f"{level}_card")
     sides = [F.col(f"{level}_card_{side}") for side in ("pre", "post")]
-    first, second = (_pressure(own, near, own / (near + own), p, scale, floor) for near in sides)
+    first, second = (_pressure(own, near, _share(own, near), p, scale, floor) for near in sides)
     return (first + second) / p["memory_size"]
 
 

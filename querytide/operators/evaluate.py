@@ -18,7 +18,10 @@ WITH_P99 = {**PERCENTILES, "p99": 0.99}
 
 
 def q_error(prediction: Column, label: Column) -> Column:
-    return F.greatest(prediction / label, label / prediction)
+    """The larger of both ratios; infinite where just one side is 0, and 1 where both are."""
+    both = F.greatest(F.try_divide(prediction, label), F.try_divide(label, prediction))
+    one_zero = ((prediction == 0) | (label == 0)) & (prediction != label)
+    return F.when(one_zero, F.lit(float("inf"))).when((prediction == 0) & (label == 0), F.lit(1.0)).otherwise(both)
 
 
 def describe(

@@ -87,20 +87,19 @@ def concurrency_counts(trace: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
 
 
 def concurrency_by_database(
-    trace: DataFrame, min_queries: int = 5000, max_databases: int = 100
+    trace: DataFrame, min_queries: int = 5000, max_databases: int | None = None
 ) -> DataFrame:
-    """Counts for databases with more than ``min_queries`` rows, the first
-    ``max_databases`` of them in id order."""
-    # One row per database; the wanted ones are at most `max_databases` rows.
+    """Counts for databases with more than ``min_queries`` rows: all of them, or the
+    first ``max_databases`` in id order."""
     chosen = (
         trace.groupBy("database_id")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > min_queries)
-        .orderBy("database_id")
-        .limit(max_databases)
         .select("database_id")
     )
-    kept = trace.join(F.broadcast(chosen), "database_id", "left_semi")
+    if max_databases is not None:
+        chosen = chosen.orderBy("database_id").limit(max_databases)
+    kept = trace.join(chosen, "database_id", "left_semi")
     swept = neighbour_sweep(kept, KEYS, payload=())
     return swept.select("database_id", "query_id", (F.col("n_before") + F.col("n_after")).alias("n_concurrent"))
 

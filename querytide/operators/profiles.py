@@ -86,19 +86,18 @@ def average_days(profile: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def average_databases(
-    log: DataFrame, min_queries: int = 5000, max_databases: int = 100, minutes: int = 10, day_type: str = "all"
+    log: DataFrame, min_queries: int = 5000, max_databases: int | None = None, minutes: int = 10, day_type: str = "all"
 ) -> DataFrame:
     """Average of the day profiles of the larger databases."""
-    # At most `max_databases` rows.
     chosen = (
         log.groupBy("database_id")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .where(F.col("_rows") > min_queries)
-        .orderBy("database_id")
-        .limit(max_databases)
         .select("database_id")
     )
-    kept = log.join(F.broadcast(chosen), "database_id", "left_semi")
+    if max_databases is not None:
+        chosen = chosen.orderBy("database_id").limit(max_databases)
+    kept = log.join(chosen, "database_id", "left_semi")
     per_database = average_days(interval_profile(kept, minutes, day_type, keys=KEYS), KEYS)
     return average_days(per_database)
 

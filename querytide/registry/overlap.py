@@ -56,11 +56,11 @@ def conc_predecessors(spark, sf):
     """SELECT database_id, query_id, other_query_id FROM (
   SELECT ordered.database_id, earlier_id AS query_id, later_id AS other_query_id,
     row_number() OVER (PARTITION BY earlier_id ORDER BY t.start_us, later_id) AS pos
-  FROM ordered JOIN trace t ON t.query_id = later_id) WHERE pos <= 99""",
+  FROM ordered JOIN trace t ON t.query_id = later_id)""",
     ORDERED.replace("{src}", "trace"),
 )
 def conc_successors(spark, sf):
-    return o.successors(view(spark, sf, "trace"), max_following=99)
+    return o.successors(view(spark, sf, "trace"))
 
 
 @register("conc_overlap_pairs", "trace", "SELECT * FROM pairs", pairs_of("trace"))
@@ -111,8 +111,8 @@ def conc_count(spark, sf):
 @register(
     "conc_count_by_database", "trace",
     """SELECT database_id, query_id, n_concurrent FROM counts WHERE database_id IN (
-  SELECT database_id FROM trace GROUP BY 1 HAVING count(*) > 200 ORDER BY 1 LIMIT 3)""",
+  SELECT database_id FROM trace GROUP BY 1 HAVING count(*) > 200)""",
     f"{pairs_of('trace')}, {COUNTS.replace('{src}', 'trace')}",
 )
 def conc_count_by_database(spark, sf):
-    return o.concurrency_by_database(view(spark, sf, "trace"), min_queries=200, max_databases=3)
+    return o.concurrency_by_database(view(spark, sf, "trace"), min_queries=200)

@@ -68,10 +68,10 @@ def _rounded(profile):
   SELECT database_id, bucket, avg(n_queries) AS n_queries, avg(mean_concurrent) AS mean_concurrent
   FROM grid GROUP BY 1, 2) GROUP BY 1""",
     "kept AS (SELECT * FROM trace WHERE database_id IN (SELECT database_id FROM trace GROUP BY 1 HAVING count(*) > 100 "
-    "ORDER BY 1 LIMIT 3)), " + daily(True, "kept"),
+    ")), " + daily(True, "kept"),
 )
 def prof_interval_avg_databases(spark, sf):
-    return _rounded(p.average_databases(view(spark, sf, "trace"), min_queries=100, max_databases=3))
+    return _rounded(p.average_databases(view(spark, sf, "trace"), min_queries=100))
 
 
 @register(

@@ -101,9 +101,10 @@ def test_client_files(spark, tmp_path):
                       ("trace_client_1_5", 5), ("trace_client_12", 6), ("other", 7), ("trace_client_0_25", 8)]:
         (tmp_path / f"{name}.csv").write_text(header + f"2024-01-01 00:00:00,1.5,00:01,{idx},2.5,postgres\n")
     ids = lambda df: sorted(r["query_idx"] for r in df.collect())
-    assert ids(t.read_client_traces(spark, str(tmp_path))) == [1, 3]
+    assert ids(t.read_client_traces(spark, str(tmp_path))) == [1, 3, 6]
+    assert ids(t.read_client_traces(spark, str(tmp_path), clients=10)) == [1, 3]
     assert ids(t.read_client_traces(spark, str(tmp_path), version=5)) == [5]
-    assert ids(t.read_client_traces(spark, str(tmp_path), all_versions=True)) == [1, 3, 4]
+    assert ids(t.read_client_traces(spark, str(tmp_path), all_versions=True)) == [1, 3, 4, 6, 8]
 
 
 def test_bank_and_templates(spark, tmp_path):
@@ -204,3 +205,10 @@ def test_block_sample(spark, mode):
     df = spark.range(100).withColumnRenamed("id", "k")
     got = sorted(r["k"] for r in t.block_sample(df, ["k"], 5, 0.1).collect())
     assert got == [0, 1, 2, 3, 4, 50, 51, 52, 53, 54]
+
+
+def test_ratios_with_zeros(spark):
+    from querytide.operators.evaluate import q_error
+
+    rows = spark.createDataFrame([(2.0, 1.0), (0.0, 1.0), (1.0, 0.0), (0.0, 0.0)], "p double, l double")
+    assert [r[0] for r in rows.select(q_error(F.col("p"), F.col("l"))).collect()] == [2.0, float("inf"), float("inf"), 1.0]

@@ -21,6 +21,8 @@ ROUNDS = 6
 # for lower cosines the chance is high and is measured by a test.
 MARGIN = 0.16
 BLOCK = 1024
+# Vectors whose copies for all their cells are held in a task at once.
+PASS_ROWS = 256
 
 
 def unit_vectors(column) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -69,21 +71,23 @@ def _assigned(cells):
         known = cells.value
         gaps = {size: np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-12)) for size, c in known.items()}
         for pdf in frames:
-            rows = []
-            for size, part in pdf.groupby(pdf["unit"].map(len)):
-                units = np.array(part["unit"].tolist())
-                if size in known:
-                    near = units @ known[size].T
-                    own = near.argmax(axis=1)
-                    distance = (near[np.arange(len(own)), own][:, None] - near) / gaps[size][own]
-                    close = distance <= MARGIN
-                    close[np.arange(len(own)), own] = True
-                else:
-                    close = np.ones((len(units), 1), bool)
-                for vec, n, unit, cell in zip(part["vec"].tolist(), part["n"].tolist(), part["unit"].tolist(), close):
-                    held = np.flatnonzero(cell).tolist()
-                    rows += [(size, c, vec, n, unit, held) for c in held]
-            yield pd.DataFrame(rows, columns=["size", "cell", "vec", "n", "unit", "cells"])
+            for size, whole in pdf.groupby(pdf["unit"].map(len)):
+                for begin in range(0, len(whole), PASS_ROWS):
+                    part = whole.iloc[begin : begin + PASS_ROWS]
+                    units = np.array(part["unit"].tolist())
+                    if size in known:
+                        near = units @ known[size].T
+                        own = near.argmax(axis=1)
+                        distance = (near[np.arange(len(own)), own][:, None] - near) / gaps[size][own]
+                        close = distance <= MARGIN
+                        close[np.arange(len(own)), own] = True
+                    else:
+                        close = np.ones((len(units), 1), bool)
+                    rows = []
+                    for vec, n, unit, cell in zip(part["vec"].tolist(), part["n"].tolist(), part["unit"].tolist(), close):
+                        held = np.flatnonzero(cell).tolist()
+                        rows += [(size, c, vec, n, unit, held) for c in held]
+                    yield pd.DataFrame(rows, columns=["size", "cell", "vec", "n", "unit", "cells"])
 
     return run
 

@@ -20,7 +20,11 @@ ROUNDS = 6
 # their middle within sqrt(2 - 2 cos(acos(0.97) / 2)) = 0.1228 of both, so they are sure to share the middle's cell;
 # for lower cosines the chance is high and is measured by a test.
 MARGIN = 0.16
-BLOCK = 1024
+# Vectors of a block, and how many of them are compared with the other block at once.
+BLOCK = 8192
+TILE = 512
+# Cells are the square root of the number of vectors over this: with fewer cells fewer borders are near.
+CELL_SHARE = 16
 # Vectors whose copies for all their cells are held in a task at once.
 PASS_ROWS = 256
 
@@ -36,6 +40,12 @@ def unit_vectors(column) -> tuple[np.ndarray, list[np.ndarray]]:
     return np.array(usable, bool), out
 
 
+def units_of(column) -> np.ndarray:
+    """Usable vectors of one length as rows of unit length."""
+    whole = np.array(column.tolist(), np.float64)
+    return whole / np.linalg.norm(whole, axis=1, keepdims=True)
+
+
 def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
     """Unit centroids; an empty cell takes a vector far from its own centroid."""
     draw = np.random.default_rng(seed)
@@ -53,15 +63,12 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = ROUNDS, seed: in
 
 
 def fit_cells(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Centroids per dimension, about the square root of ``n`` in all, from a bounded sample chosen by hash."""
-    sample = vectors.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE_VECTORS).select("unit").toPandas()["unit"]
-    by_size: dict[int, list] = {}
-    for v in sample:
-        by_size.setdefault(len(v), []).append(v)
+    """Centroids per dimension, in all about the square root of ``n`` over ``CELL_SHARE``, from a bounded sample chosen by hash."""
+    sample = vectors.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE_VECTORS).select("v").toPandas()["v"]
     cells = {}
-    for size, own in by_size.items():
-        share = math.isqrt(max(1, n * len(own) // len(sample)))
-        cells[size] = spherical_kmeans(np.array(own), max(1, min(share, len(own) // 4 or 1)))
+    for size, own in sample.groupby(sample.map(len)):
+        share = math.isqrt(max(1, n * len(own) // len(sample))) // CELL_SHARE
+        cells[size] = spherical_kmeans(units_of(own), max(1, min(share, len(own) // 4 or 1)))
     return cells
 
 
@@ -71,10 +78,10 @@ def _assigned(cells):
         known = cells.value
         gaps = {size: np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-12)) for size, c in known.items()}
         for pdf in frames:
-            for size, whole in pdf.groupby(pdf["unit"].map(len)):
+            for size, whole in pdf.groupby(pdf["v"].map(len)):
                 for begin in range(0, len(whole), PASS_ROWS):
                     part = whole.iloc[begin : begin + PASS_ROWS]
-                    units = np.array(part["unit"].tolist())
+                    units = units_of(part["v"])
                     if size in known:
                         near = units @ known[size].T
                         own = near.argmax(axis=1)
@@ -84,10 +91,10 @@ def _assigned(cells):
                     else:
                         close = np.ones((len(units), 1), bool)
                     rows = []
-                    for vec, n, unit, cell in zip(part["vec"].tolist(), part["n"].tolist(), part["unit"].tolist(), close):
+                    for vec, n, v, cell in zip(part["vec"].tolist(), part["n"].tolist(), part["v"].tolist(), close):
                         held = np.flatnonzero(cell).tolist()
-                        rows += [(size, c, vec, n, unit, held) for c in held]
-                    yield pd.DataFrame(rows, columns=["size", "cell", "vec", "n", "unit", "cells"])
+                        rows += [(size, c, vec, n, v, held) for c in held]
+                    yield pd.DataFrame(rows, columns=["size", "cell", "vec", "n", "v", "cells"])
 
     return run
 
@@ -101,8 +108,12 @@ def _compared(similarity: float):
         if not len(left) or not len(right):
             return pd.DataFrame({"vec": [], "links": [], "low": []})
         cell = int(pdf["cell"].iloc[0])
-        hit = np.array(left["unit"].tolist()) @ np.array(right["unit"].tolist()).T >= similarity
-        hit &= left["vec"].to_numpy()[:, None] != right["vec"].to_numpy()[None, :]
+        units, tiles = units_of(right["v"]).T, range(0, len(left), TILE)
+        hit = np.zeros((len(left), len(right)), bool)
+        own, ids = units_of(left["v"]), [part["vec"].to_numpy(np.int64) for part in (left, right)]
+        for at in tiles:
+            hit[at : at + TILE] = own[at : at + TILE] @ units >= similarity
+            hit[at : at + TILE] &= ids[0][at : at + TILE, None] != ids[1]
         # A pair that shares several cells counts in the first of them.
         earlier = sorted({c for cells in (*left["cells"], *right["cells"]) for c in cells if c < cell})
         if earlier and hit.any():
@@ -113,18 +124,22 @@ def _compared(similarity: float):
                 for i, cells in enumerate(part["cells"]):
                     mark[i, [at[c] for c in cells if c < cell]] = 1
                 marks.append(mark)
-            hit &= marks[0] @ marks[1].T == 0
+            for t in tiles:
+                hit[t : t + TILE] &= marks[0][t : t + TILE] @ marks[1].T == 0
         if not hit.any():
             return pd.DataFrame({"vec": [], "links": [], "low": []})
         weights = [part["n"].to_numpy(np.int64) for part in (left, right)]
-        parts = [(left["vec"].to_numpy(np.int64), hit.astype(np.float64) @ weights[1])]
+        parts = [(ids[0], np.concatenate([hit[t : t + TILE] @ weights[1] for t in tiles]))]
         if first != second:
-            parts.append((right["vec"].to_numpy(np.int64), hit.T.astype(np.float64) @ weights[0]))
-        low = [left["vec"].to_numpy(np.int64).copy(), right["vec"].to_numpy(np.int64).copy()]
+            parts.append((ids[1], sum(weights[0][t : t + TILE] @ hit[t : t + TILE] for t in tiles)))
+        low = ids
         none = np.iinfo(np.int64).max
         while True:  # the smallest vector wanders along the links of the block
-            new_left = np.minimum(low[0], np.where(hit, low[1][None, :], none).min(axis=1))
-            new_right = np.minimum(low[1], np.where(hit, new_left[:, None], none).min(axis=0))
+            new_left, new_right = low[0].copy(), low[1].copy()
+            for t in tiles:
+                here = slice(t, t + TILE)
+                new_left[here] = np.minimum(low[0][here], np.where(hit[here], low[1][None, :], none).min(axis=1))
+                new_right = np.minimum(new_right, np.where(hit[here], new_left[here, None], none).min(axis=0))
             if (new_left == low[0]).all() and (new_right == low[1]).all():
                 break
             low = [new_left, new_right]
@@ -153,19 +168,17 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
     def usable(frames):
         for pdf in frames:
-            good, units = unit_vectors(pdf["v"])
-            pdf = pdf.assign(unit=[u if g else None for g, u in zip(good, units)])[good]
-            yield pdf[["v", "vec", "n", "unit"]]
+            yield pdf[unit_vectors(pdf["v"])[0]][["v", "vec", "n"]]
 
     kind = vectors.schema[vector_col].dataType.simpleString()
-    classes = staged(classes.mapInPandas(usable, f"v {kind}, vec long, n long, unit array<double>"), "vectors")
-    compared = classes.select("vec", "n", "unit")
-    cells = spark.sparkContext.broadcast(fit_cells(compared, compared.count()))
-    placed = staged(compared.mapInPandas(_assigned(cells), "size int, cell int, vec long, n long, unit array<double>, cells array<int>"), "cells")
+    classes = staged(classes.mapInPandas(usable, f"v {kind}, vec long, n long"), "vectors")
+    cells = spark.sparkContext.broadcast(fit_cells(classes, classes.count()))
+    placed = classes.mapInPandas(_assigned(cells), f"size int, cell int, vec long, n long, v {kind}, cells array<int>")
+    placed = staged(placed, "cells")
     sizes = placed.groupBy("size", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # as many rows as cells
     dealt = placed.join(sizes, ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "size", "cell", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "vec", "n", "unit", "cells"
+        "size", "cell", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "vec", "n", "v", "cells"
     )
     found = staged(
         dealt.groupBy("size", "cell", "first", "second").applyInPandas(_compared(similarity), "vec long, links long, low long"), "found"

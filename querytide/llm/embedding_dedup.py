@@ -114,6 +114,10 @@ def _compared(similarity: float):
         for at in tiles:
             hit[at : at + TILE] = own[at : at + TILE] @ units >= similarity
             hit[at : at + TILE] &= ids[0][at : at + TILE, None] != ids[1]
+        # Only vectors with a link go on.
+        rows, columns = hit.any(axis=1), hit.any(axis=0)
+        left, right, hit = left[rows], right[columns], hit[rows][:, columns]
+        ids, tiles = [ids[0][rows], ids[1][columns]], range(0, len(left), TILE)
         # A pair that shares several cells counts in the first of them.
         earlier = sorted({c for cells in (*left["cells"], *right["cells"]) for c in cells if c < cell})
         if earlier and hit.any():

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from querytide.llm.components import components
@@ -16,16 +16,15 @@ SIMILARITY = 0.9
 # The centroids are fitted on so many vectors at most, chosen by hash; every vector is assigned and compared.
 SAMPLE_VECTORS = 16384
 ROUNDS = 6
-# A vector is put into every cell whose border is nearer than this. Two unit vectors with a cosine of 0.97 or more have
-# their middle within sqrt(2 - 2 cos(acos(0.97) / 2)) = 0.1228 of both, so they are sure to share the middle's cell;
-# for lower cosines the chance is high and is measured by a test.
-MARGIN = 0.16
+# A vector lives in the cell of its nearest centroid and is looked up in every cell whose border is nearer than this. The
+# distances of two vectors from the border between their cells add up to no more than the vectors' own distance, so one of
+# them is looked up where the other lives if they are no further apart than twice the margin: a cosine of 0.98 or more.
+# For lower cosines the chance is high and is measured by a test.
+MARGIN = 0.1
 # Vectors of a block, and how many of them are compared with the other block at once.
 BLOCK = 8192
 TILE = 512
-# Cells are the square root of the number of vectors over this: with fewer cells fewer borders are near.
-CELL_SHARE = 16
-# Vectors whose copies for all their cells are held in a task at once.
+# Vectors whose cosines with all centroids are held at once.
 PASS_ROWS = 256
 
 
@@ -46,96 +45,96 @@ def units_of(column) -> np.ndarray:
     return whole / np.linalg.norm(whole, axis=1, keepdims=True)
 
 
+def nearest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the nearest centroid of each vector, and the cosine with it."""
+    own, cosine = np.empty(len(vectors), np.int64), np.empty(len(vectors))
+    for t in range(0, len(vectors), PASS_ROWS):
+        near = vectors[t : t + PASS_ROWS] @ centroids.T
+        own[t : t + PASS_ROWS] = near.argmax(axis=1)
+        cosine[t : t + PASS_ROWS] = near.max(axis=1)
+    return own, cosine
+
+
 def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = ROUNDS, seed: int = 5) -> np.ndarray:
     """Unit centroids; an empty cell takes a vector far from its own centroid."""
     draw = np.random.default_rng(seed)
     centroids = vectors[draw.choice(len(vectors), k, replace=False)]
     for _ in range(rounds):
-        near = vectors @ centroids.T
-        own = near.argmax(axis=1)
+        own, cosine = nearest(vectors, centroids)
         sums = np.zeros_like(centroids)
         np.add.at(sums, own, vectors)
         norms = np.linalg.norm(sums, axis=1)
         lost = np.flatnonzero(norms < 1e-12)
-        sums[lost] = vectors[np.argsort(near[np.arange(len(vectors)), own])[: len(lost)]]
+        sums[lost] = vectors[np.argsort(cosine)[: len(lost)]]
         centroids = sums / np.linalg.norm(sums, axis=1, keepdims=True)
     return centroids
 
 
 def fit_cells(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Centroids per dimension, in all about the square root of ``n`` over ``CELL_SHARE``, from a bounded sample chosen by hash."""
+    """Centroids per dimension, about the square root of its vectors (a quarter of the sample at most), from a bounded sample chosen by hash."""
     sample = vectors.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE_VECTORS).select("v").toPandas()["v"]
     cells = {}
     for size, own in sample.groupby(sample.map(len)):
-        share = math.isqrt(max(1, n * len(own) // len(sample))) // CELL_SHARE
-        cells[size] = spherical_kmeans(units_of(own), max(1, min(share, len(own) // 4 or 1)))
+        share = math.isqrt(n * len(own) // len(sample))
+        cells[size] = spherical_kmeans(units_of(own), max(1, min(share, len(own) // 4)))
     return cells
 
 
 def _assigned(cells):
-    """One row per vector and cell near it; vectors of a dimension without centroids share one cell."""
+    """Per vector the cell it lives in and those it is looked up in, its own among them; vectors of a dimension without centroids share one cell."""
     def run(frames):
         known = cells.value
-        gaps = {size: np.sqrt(np.maximum(2 - 2 * c @ c.T, 1e-12)) for size, c in known.items()}
         for pdf in frames:
             for size, whole in pdf.groupby(pdf["v"].map(len)):
                 for begin in range(0, len(whole), PASS_ROWS):
                     part = whole.iloc[begin : begin + PASS_ROWS]
-                    units = units_of(part["v"])
+                    home, close = np.zeros(len(part), np.int64), np.ones((len(part), 1), bool)
                     if size in known:
-                        near = units @ known[size].T
-                        own = near.argmax(axis=1)
-                        distance = (near[np.arange(len(own)), own][:, None] - near) / gaps[size][own]
-                        close = distance <= MARGIN
-                        close[np.arange(len(own)), own] = True
-                    else:
-                        close = np.ones((len(units), 1), bool)
-                    rows = []
-                    for vec, n, v, cell in zip(part["vec"].tolist(), part["n"].tolist(), part["v"].tolist(), close):
-                        held = np.flatnonzero(cell).tolist()
-                        rows += [(size, c, vec, n, v, held) for c in held]
-                    yield pd.DataFrame(rows, columns=["size", "cell", "vec", "n", "v", "cells"])
+                        near = units_of(part["v"]) @ known[size].T
+                        home = near.argmax(axis=1)
+                        gaps = np.sqrt(np.maximum(2 - 2 * known[size][home] @ known[size].T, 1e-12))
+                        close = (near.max(axis=1, keepdims=True) - near) / gaps <= MARGIN
+                        close[np.arange(len(home)), home] = True
+                    yield part.assign(size=size, home=home, cells=[np.flatnonzero(c) for c in close])[["size", "home", "cells", "vec", "n", "v"]]
 
     return run
 
 
 def _compared(similarity: float):
-    """Links between two blocks of a cell, without listing pairs: per vector the number, and the smallest vector it is joined with here."""
+    """Links between vectors that live in a cell and vectors looked up there, without listing pairs: per vector the number, and the smallest vector it is joined with here."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second = int(pdf["first"].iloc[0]), int(pdf["second"].iloc[0])
-        left = pdf[pdf["block"] == first]
-        right = pdf[pdf["block"] == second]
+        nothing = pd.DataFrame({"vec": [], "links": [], "low": []})
+        left, right = pdf[pdf["cells"].notna()], pdf[pdf["cells"].isna()]
         if not len(left) or not len(right):
-            return pd.DataFrame({"vec": [], "links": [], "low": []})
+            return nothing
         cell = int(pdf["cell"].iloc[0])
-        units, tiles = units_of(right["v"]).T, range(0, len(left), TILE)
+        own, units = units_of(left["v"]), units_of(right["v"]).T
+        ids = [part["vec"].to_numpy(np.int64) for part in (left, right)]
+        # Of two vectors that live here the smaller one is the looked up one's partner.
+        inside = np.flatnonzero(right["home"].to_numpy() == cell)
         hit = np.zeros((len(left), len(right)), bool)
-        own, ids = units_of(left["v"]), [part["vec"].to_numpy(np.int64) for part in (left, right)]
-        for at in tiles:
-            hit[at : at + TILE] = own[at : at + TILE] @ units >= similarity
-            hit[at : at + TILE] &= ids[0][at : at + TILE, None] != ids[1]
+        for t in range(0, len(left), TILE):
+            hit[t : t + TILE] = own[t : t + TILE] @ units >= similarity
+            hit[t : t + TILE, inside] &= ids[0][t : t + TILE, None] < ids[1][inside]
         # Only vectors with a link go on.
         rows, columns = hit.any(axis=1), hit.any(axis=0)
         left, right, hit = left[rows], right[columns], hit[rows][:, columns]
-        ids, tiles = [ids[0][rows], ids[1][columns]], range(0, len(left), TILE)
-        # A pair that shares several cells counts in the first of them.
-        earlier = sorted({c for cells in (*left["cells"], *right["cells"]) for c in cells if c < cell})
-        if earlier and hit.any():
-            at = {c: i for i, c in enumerate(earlier)}
-            marks = []
-            for part in (left, right):
-                mark = np.zeros((len(part), len(earlier)), np.float32)
-                for i, cells in enumerate(part["cells"]):
-                    mark[i, [at[c] for c in cells if c < cell]] = 1
-                marks.append(mark)
-            for t in tiles:
-                hit[t : t + TILE] &= marks[0][t : t + TILE] @ marks[1].T == 0
+        ids = [ids[0][rows], ids[1][columns]]
+        tiles = range(0, len(left), TILE)
+        # A pair that meets in the cells of both counts in the lower of the two.
+        homes, at = np.unique(right["home"].to_numpy(), return_inverse=True)
+        counts_here = np.ones((len(left), len(homes)), bool)
+        for i, cells in enumerate(left["cells"]):
+            counts_here[i] = (homes >= cell) | ~np.isin(homes, cells)
+        for t in tiles:
+            hit[t : t + TILE] &= counts_here[t : t + TILE][:, at]
         if not hit.any():
-            return pd.DataFrame({"vec": [], "links": [], "low": []})
+            return nothing
         weights = [part["n"].to_numpy(np.int64) for part in (left, right)]
-        parts = [(ids[0], np.concatenate([hit[t : t + TILE] @ weights[1] for t in tiles]))]
-        if first != second:
-            parts.append((ids[1], sum(weights[0][t : t + TILE] @ hit[t : t + TILE] for t in tiles)))
+        links = [
+            np.concatenate([hit[t : t + TILE] @ weights[1] for t in tiles]),
+            sum(weights[0][t : t + TILE] @ hit[t : t + TILE] for t in tiles),
+        ]
         low = ids
         none = np.iinfo(np.int64).max
         while True:  # the smallest vector wanders along the links of the block
@@ -147,8 +146,7 @@ def _compared(similarity: float):
             if (new_left == low[0]).all() and (new_right == low[1]).all():
                 break
             low = [new_left, new_right]
-        out = [pd.DataFrame({"vec": vec, "links": links.astype(np.int64), "low": low[i]}) for i, (vec, links) in enumerate(parts)]
-        out = pd.concat(out)
+        out = pd.concat([pd.DataFrame({"vec": ids[i], "links": links[i].astype(np.int64), "low": low[i]}) for i in (0, 1)])
         return out[out["links"] > 0]
 
     return run
@@ -162,8 +160,8 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     link. Equal vectors are compared once and counted as often as they occur. Ids are integers; rows that share an
     id and a vector count as two. A null id has no component and isn't kept. Extra columns are left out.
 
-    The comparison of a cell is dealt out as pairs of blocks of about ``BLOCK`` vectors, whatever the cell's size, and
-    gives a row per vector and block pair, not per pair of vectors.
+    The comparison of a cell is dealt out as pairs of blocks of about ``BLOCK`` vectors, those that live there against
+    those looked up there, whatever the cell's size, and gives a row per vector and block pair, not per pair of vectors.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
@@ -177,15 +175,24 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     kind = vectors.schema[vector_col].dataType.simpleString()
     classes = staged(classes.mapInPandas(usable, f"v {kind}, vec long, n long"), "vectors")
     cells = spark.sparkContext.broadcast(fit_cells(classes, classes.count()))
-    placed = classes.mapInPandas(_assigned(cells), f"size int, cell int, vec long, n long, v {kind}, cells array<int>")
+    placed = classes.mapInPandas(_assigned(cells), f"size int, home int, cells array<int>, vec long, n long, v {kind}")
     placed = staged(placed, "cells")
-    sizes = placed.groupBy("size", "cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))  # as many rows as cells
-    dealt = placed.join(sizes, ["size", "cell"]).withColumn("block", F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "size", "cell", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "block", "vec", "n", "v", "cells"
+    looked = placed.select("size", F.explode("cells").alias("cell"), "home", "vec", "n", "v")
+    # As many rows as cells.
+    blocks = looked.groupBy("size", "cell").agg(
+        F.ceil(F.count_if(F.col("home") == F.col("cell")) / BLOCK).cast("int").alias("left_blocks"), F.ceil(F.count("*") / BLOCK).cast("int").alias("right_blocks")
+    )
+
+    def dealt(rows: DataFrame, own: str, other: str, cells: Column) -> DataFrame:
+        block = {own: F.pmod(F.xxhash64("vec"), F.col(f"{own}_blocks")).cast("int"), other: F.explode(F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1))}
+        rows = rows.join(blocks.where("left_blocks > 0"), ["size", "cell"]).withColumns(block)
+        return rows.select("size", "cell", "left", "right", "home", cells.alias("cells"), "vec", "n", "v")
+
+    dealt_rows = dealt(placed.withColumn("cell", F.col("home")), "left", "right", F.col("cells")).union(
+        dealt(looked, "right", "left", F.lit(None).cast("array<int>"))
     )
     found = staged(
-        dealt.groupBy("size", "cell", "first", "second").applyInPandas(_compared(similarity), "vec long, links long, low long"), "found"
+        dealt_rows.groupBy("size", "cell", "left", "right").applyInPandas(_compared(similarity), "vec long, links long, low long"), "found"
     )
     counts = found.groupBy("vec").agg(F.sum("links").alias("links"))
     joined = components(found.where("vec != low").select("vec", "low")).select(F.col("node").alias("vec"), "component")

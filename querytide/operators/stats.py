@@ -176,16 +176,18 @@ def queueing_curve(n: Column, isolated_s: Column, a1: Column, a2: Column, b1: Co
 def fit_queueing_curve(
     counted: DataFrame,
     isolated: DataFrame,
-    levels: Sequence[int] = range(1, 41),
+    levels: Sequence[int] | None = None,
     per_query: bool = True,
     prior_only: bool = True,
     min_runs: int = 10,
 ) -> DataFrame:
     """Least-squares ``a1, a2`` for every level ``b1`` and the level with the least error.
 
-    For a fixed level the curve is linear, so five sums solve it. Rows merge to
-    one per (query, neighbours) before the levels are unfolded: the unfolding
-    does not grow with the trace. A singular level is no candidate.
+    Without ``levels`` they are all whole numbers up to the most neighbours seen
+    (higher ones are singular). For a fixed level the curve is linear, so five sums
+    solve it. Rows merge to one per (query, neighbours) before the levels are
+    unfolded: the unfolding grows with concurrency, not with the number of runs.
+    A singular level is no candidate.
     """
     n = F.col("n_prior" if prior_only else "n_all")
     runs = counted.where(F.col("n_all") > 0).join(isolated, "query_idx")
@@ -193,9 +195,14 @@ def fit_queueing_curve(
     merged = runs.groupBy("query_idx", n.cast("double").alias("n"), (F.col("isolated_us") / MICROS).alias("iso")).agg(
         F.count(F.lit(1)).alias("c"), F.sum(extra).alias("z"), F.sum(extra * extra).alias("zz")
     )
-    many = merged.groupBy("query_idx").agg(F.sum("c").alias("_runs")).where(F.col("_runs") >= min_runs)
-    merged = merged.join(many.select("query_idx"), "query_idx")
-    at_level = merged.withColumn("b1", F.explode(F.array(*[F.lit(float(b)) for b in levels])))
+    many = merged.groupBy("query_idx").agg(F.sum("c").alias("_runs"), F.max("n").alias("_top")).where(F.col("_runs") >= min_runs)
+    if levels is None:
+        top = F.col("_top") if per_query else many.agg(F.max("_top")).scalar()
+        candidates = F.sequence(F.lit(1), F.greatest(top, F.lit(1)).cast("int"))
+    else:
+        candidates = F.array(*[F.lit(b) for b in levels])
+    merged = merged.join(many.select("query_idx", "_top"), "query_idx")
+    at_level = merged.withColumn("b1", F.explode(candidates.cast("array<double>")))
     u, v, c, z = F.greatest(F.col("n") - F.col("b1"), F.lit(0.0)), F.least("n", "b1") * F.col("iso"), F.col("c"), F.col("z")
     keys = ["query_idx"] if per_query else []
     sums = at_level.groupBy(*keys, "b1").agg(

@@ -53,7 +53,8 @@ def fit_plan_gbt(spark, sf):
 @register("fit_neighbor_gbt")
 def fit_neighbor_gbt(spark, sf):
     rows, isolated = _fitted(spark, sf)
-    dense = m.dense_vectors(m.neighbour_vectors(rows, isolated), 100)
+    width = rows.agg(F.max("query_idx")).first()[0] + 1
+    dense = m.dense_vectors(m.neighbour_vectors(rows, isolated), width)
     labelled = dense.join(rows.select("query_id", "query_idx", (F.col("run_us") / 1e6).alias("label_s")), "query_id")
     labelled = staged(labelled, "vectors")
     model = m.fit_gbt(labelled, "features", "label_s", **SMALL)
@@ -91,7 +92,7 @@ def cluster_kmeans(spark, sf):
     "SELECT DISTINCT query_idx, CAST(dense_rank() OVER (ORDER BY query_idx) - 1 AS INT) AS cluster FROM plan_nodes",
 )
 def cluster_kmeans_small(spark, sf):
-    return m.cluster_kmeans(_features(spark, sf), 200)
+    return m.cluster_each(_features(spark, sf))
 
 
 def _clusters(spark, sf):
@@ -244,14 +245,14 @@ def graph_tree_edges(spark, sf):
 
 
 USES = """uses AS (SELECT n.query_idx, n.node_pos, s.column_id FROM plan_nodes n JOIN column_stats s
-  ON s.tablename = n.table_name AND s.column_id % 4 < 2
+  ON s.tablename = n.table_name
   UNION ALL SELECT n.query_idx, n.node_pos, n.node_pos % 8 FROM plan_nodes n WHERE n.op_name = 'Hash Join'),
 ntab AS (SELECT DISTINCT query_idx, node_pos, tablename AS table_name FROM uses JOIN column_stats USING (column_id))"""
 
 
 def _node_tables(spark, sf):
     nodes, stats = view(spark, sf, "plan_nodes"), view(spark, sf, "column_stats")
-    scans = nodes.join(stats, F.col("table_name") == F.col("tablename")).where("column_id % 4 < 2")
+    scans = nodes.join(stats, F.col("table_name") == F.col("tablename"))
     joins = nodes.where("op_name = 'Hash Join'").select("query_idx", "node_pos", (F.col("node_pos") % 8).alias("column_id"))
     return g.node_tables(scans.select("query_idx", "node_pos", "column_id").unionByName(joins), stats)
 

@@ -241,24 +241,21 @@ def plan_min_card(spark, sf):
 @register(
     "plan_table_ids", "plan_nodes table_stats",
     """SELECT query_idx, node_pos, table_id FROM plan_nodes LEFT JOIN (
-  SELECT relname AS table_name, table_id FROM table_stats WHERE reltuples > 50000) USING (table_name)""",
+  SELECT relname AS table_name, table_id FROM table_stats) USING (table_name)""",
 )
 def plan_table_ids(spark, sf):
-    known = view(spark, sf, "table_stats").where("reltuples > 50000")
-    return f.with_table_ids(nodes(spark, sf), known).select("query_idx", "node_pos", "table_id")
+    return f.with_table_ids(nodes(spark, sf), view(spark, sf, "table_stats")).select("query_idx", "node_pos", "table_id")
 
 
 # Scans refer to a column by alias or, every third, by a bare name; other nodes by a bare name.
-REFS = """small AS (SELECT * FROM plan_nodes WHERE table_name IS NULL OR est_card > 60000),
-refs AS (
+REFS = """refs AS (
   SELECT query_idx, node_pos AS ref_id, table_name,
     CASE WHEN table_name IS NOT NULL AND node_pos % 3 <> 0 THEN table_name || '_a' END AS alias,
-    CASE WHEN node_pos % 11 = 0 THEN 'zz' ELSE ['id', 'fk', 'k', 'x'][node_pos % 4 + 1] END AS col FROM small)"""
+    CASE WHEN node_pos % 11 = 0 THEN 'zz' ELSE ['id', 'fk', 'k', 'x'][node_pos % 4 + 1] END AS col FROM plan_nodes)"""
 
 
-def small_nodes(spark, sf):
-    kept = nodes(spark, sf).where("table_name is null or est_card > 60000")
-    return kept.withColumn("alias", F.concat("table_name", F.lit("_a")))
+def aliased_nodes(spark, sf):
+    return nodes(spark, sf).withColumn("alias", F.concat("table_name", F.lit("_a")))
 
 
 def refs(spark, sf):
@@ -266,7 +263,7 @@ def refs(spark, sf):
     name = F.when(F.col("node_pos") % 11 == 0, "zz").otherwise(
         F.get(F.array(*map(F.lit, ("id", "fk", "k", "x"))), (F.col("node_pos") % 4).cast("int"))
     )
-    return small_nodes(spark, sf).select(
+    return aliased_nodes(spark, sf).select(
         "query_idx", F.col("node_pos").alias("ref_id"),
         F.when(~bare, F.col("alias")).alias("alias"), name.alias("column"),
     )
@@ -278,14 +275,14 @@ def refs(spark, sf):
   WHEN column_id IS NULL THEN 'unknown' END AS error FROM (
   SELECT r.query_idx, r.ref_id, r.alias, count(s.column_id) AS n,
     CASE WHEN r.alias IS NOT NULL OR count(s.column_id) = 1 THEN min(s.column_id) END AS column_id
-  FROM refs r LEFT JOIN (SELECT DISTINCT query_idx, table_name FROM small WHERE table_name IS NOT NULL) p
+  FROM refs r LEFT JOIN (SELECT DISTINCT query_idx, table_name FROM plan_nodes WHERE table_name IS NOT NULL) p
     ON p.query_idx = r.query_idx AND (r.alias IS NULL OR p.table_name = r.table_name)
   LEFT JOIN column_stats s ON s.tablename = p.table_name AND s.attname = r.col
   GROUP BY 1, 2, 3)""",
     REFS,
 )
 def plan_column_lookup(spark, sf):
-    return f.column_lookup(refs(spark, sf), small_nodes(spark, sf), view(spark, sf, "column_stats"))
+    return f.column_lookup(refs(spark, sf), aliased_nodes(spark, sf), view(spark, sf, "column_stats"))
 
 
 @register(

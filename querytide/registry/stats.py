@@ -25,6 +25,9 @@ STATS = """stats AS (
   SELECT query_idx, avg(run_us) AS mean_us, stddev_pop(run_us) AS std_us, arg_max(run_us, (start_us, query_id)) AS latest_us,
     count(*) AS n, quantile_cont(run_us, 0.5) AS median_us FROM valid GROUP BY 1)"""
 
+# Statistics of one engine's runs, by which those of all are predicted.
+LEARNED = STATS.replace("stats AS", "learned AS").replace("FROM valid", "FROM valid WHERE engine = 'postgres'")
+
 
 def rounded(df, digits=6, *names):
     return df.withColumns({n: F.round(F.col(n).cast("double"), digits) for n in names})
@@ -40,6 +43,10 @@ def valid(spark, sf):
     return valid_runs(view(spark, sf, "trace"))
 
 
+def learned(spark, sf):
+    return valid(spark, sf).where("engine = 'postgres'")
+
+
 def counted(spark, sf):
     """Neighbour counts, written once: isolated runtimes and models both read them."""
     return staged(s.neighbour_counts(view(spark, sf, "trace")), "counted")
@@ -68,11 +75,11 @@ def stat_runtime_merge(spark, sf):
 @register(
     "stat_predict_cached", "trace",
     """SELECT query_id, round((median_us * 0.7 + latest_us * (1 - 0.7)) / 1000000, 6) AS cached_s
-FROM trace LEFT JOIN (SELECT * FROM stats WHERE latest_us <= 60000000) USING (query_idx)""",
-    f"{VALID}, {STATS}",
+FROM trace LEFT JOIN learned USING (query_idx)""",
+    f"{VALID}, {LEARNED}",
 )
 def stat_predict_cached(spark, sf):
-    known = s.query_runtimes(valid(spark, sf)).where("latest_us <= 60000000")
+    known = s.query_runtimes(learned(spark, sf))
     predicted = s.predict_cached(view(spark, sf, "trace"), known, alpha=0.7, use_median=True)
     return rounded(predicted.select("query_id", "cached_s"), 6, "cached_s")
 
@@ -96,11 +103,11 @@ def stat_predict_feature_hash(spark, sf):
     "stat_predict_staged", "trace plan_nodes",
     """SELECT query_id, round(prediction, 6) AS prediction_s, list_transform([prediction, f1, f2], lambda x: round(x, 6)) AS online
 FROM (SELECT query_id, f1, f2, coalesce(mean_us / 1000000, greatest(0.5 * f1 - 3 * f2, 0.01)) AS prediction
-  FROM trace JOIN feats USING (query_idx) LEFT JOIN (SELECT * FROM stats WHERE latest_us <= 60000000) USING (query_idx))""",
-    f"{VALID}, {STATS}, feats AS (SELECT query_idx, count(*)::DOUBLE AS f1, sum(est_card) / 1e6 AS f2 FROM plan_nodes GROUP BY 1)",
+  FROM trace JOIN feats USING (query_idx) LEFT JOIN learned USING (query_idx))""",
+    f"{VALID}, {LEARNED}, feats AS (SELECT query_idx, count(*)::DOUBLE AS f1, sum(est_card) / 1e6 AS f2 FROM plan_nodes GROUP BY 1)",
 )
 def stat_predict_staged(spark, sf):
-    known = s.query_runtimes(valid(spark, sf)).where("latest_us <= 60000000")
+    known = s.query_runtimes(learned(spark, sf))
     model = 0.5 * F.get("features", F.lit(0)) - 3 * F.get("features", F.lit(1))
     staged_rows = s.predict_staged(view(spark, sf, "trace"), known, _features(spark, sf), model)
     return staged_rows.select(
@@ -185,7 +192,7 @@ CURVES = """per_n AS (
 eligible AS (SELECT * FROM per_n WHERE query_idx IN (SELECT query_idx FROM per_n GROUP BY 1 HAVING sum(c) >= 10)),
 sums AS (
   SELECT {key} b1, sum(c * u * u) AS uu, sum(c * u * v) AS uv, sum(c * v * v) AS vv, sum(u * z) AS uz, sum(v * z) AS vz, sum(zz) AS zz
-  FROM (SELECT *, greatest(n - b1, 0) AS u, least(n, b1) * iso AS v FROM eligible, (SELECT unnest(range(1, 41))::DOUBLE AS b1)) GROUP BY ALL),
+  FROM (SELECT *, greatest(n - b1, 0) AS u, least(n, b1) * iso AS v FROM eligible, (SELECT unnest(range(1, (SELECT max(n)::BIGINT + 1 FROM per_n)))::DOUBLE AS b1)) GROUP BY ALL),
 solved AS (SELECT *, (uz * vv - vz * uv) / (uu * vv - uv * uv) AS a1, (vz * uu - uz * uv) / (uu * vv - uv * uv) AS a2
   FROM sums WHERE uu * vv - uv * uv > 1e-9 * uu * vv),
 curves AS (SELECT {key} unnest(arg_min({'a1': a1, 'a2': a2, 'b1': b1}, (round(zz - a1 * uz - a2 * vz, 4), b1))) FROM solved {group})"""

@@ -64,24 +64,6 @@ def staged(df: DataFrame, label: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-# Below this many bytes at the leaves of a plan one task may hold all of its rows.
-SMALL_BYTES = 64 * 1024 * 1024
-SMALL_BYTES_SETTING = "spark.querytide.smallBytes"
-
-
-def is_small(df: DataFrame) -> bool:
-    """Whether the planner's size for ``df`` is below ``spark.querytide.smallBytes``.
-
-    Scans count with the sizes of their files and joins with the product of both
-    sides, so the figure errs on the large side; a source of unknown size is never small.
-    """
-    limit = int(df.sparkSession.conf.get(SMALL_BYTES_SETTING, str(SMALL_BYTES)))
-    if limit <= 0:
-        return False
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return int(size) < limit
-
-
 def release_staged(spark: SparkSession) -> None:
     """Delete every table this application staged. Call when results are written."""
     jvm = spark.sparkContext._jvm

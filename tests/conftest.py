@@ -1,6 +1,6 @@
 import pytest
 
-from querytide.session import SMALL_BYTES, SMALL_BYTES_SETTING, local_session
+from querytide.session import local_session
 
 
 @pytest.fixture(scope="session")
@@ -11,12 +11,10 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["plain", "chunked"])
+@pytest.fixture(params=["one chunk", "several chunks"])
 def mode(request, spark):
-    """Runs a test on the small-input path and on the path for large input, with several chunks."""
-    if request.param == "chunked":
-        spark.conf.set(SMALL_BYTES_SETTING, "0")
+    """Runs a test with ordered rows in one chunk and in several."""
+    if request.param == "several chunks":
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     yield request.param
-    spark.conf.set(SMALL_BYTES_SETTING, str(SMALL_BYTES))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")

@@ -8,7 +8,7 @@ import traceback
 sys.path.insert(0, __file__.rsplit("/", 2)[0])
 
 from querytide.registry import load  # noqa: E402
-from querytide.session import SMALL_BYTES_SETTING, local_session  # noqa: E402
+from querytide.session import local_session  # noqa: E402
 from tests.check import TESTDATA, check_connection, compare  # noqa: E402
 
 
@@ -22,8 +22,7 @@ def main() -> None:
     ]
     spark, con = local_session(), check_connection(sf)
     spark.sparkContext.setLogLevel("ERROR")
-    if os.environ.get("QUERYTIDE_CHUNKED"):  # the large-input path, on several chunks
-        spark.conf.set(SMALL_BYTES_SETTING, "0")
+    if os.environ.get("QUERYTIDE_CHUNKED"):  # small input in several chunks too
         spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     bad = 0
     for name in names:

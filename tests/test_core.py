@@ -55,14 +55,10 @@ def test_running_previous_and_row_number(spark, mode):
 
 
 def test_chunked_rows_are_spread(spark):
-    from querytide.session import SMALL_BYTES, SMALL_BYTES_SETTING
-
-    spark.conf.set(SMALL_BYTES_SETTING, "0")
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     df = spark.range(8000).withColumn("k", F.lit("one key"))
     ordered = OrderedRows(df, ["k"], ["id"])
     sizes = [r["count"] for r in ordered.df.groupBy("_chunk").count().collect()]
-    spark.conf.set(SMALL_BYTES_SETTING, str(SMALL_BYTES))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
     assert len(sizes) == 8 and max(sizes) < 2 * 1000
 

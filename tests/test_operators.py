@@ -178,7 +178,7 @@ def test_boosted_trees_beat_the_mean(spark):
 
 def test_kmeans_small_case(spark):
     df = spark.createDataFrame([(9, [1.0]), (4, [2.0])], "query_idx int, features array<double>")
-    assert {(r["query_idx"], r["cluster"]) for r in m.cluster_kmeans(df, 10).collect()} == {(4, 0), (9, 1)}
+    assert {(r["query_idx"], r["cluster"]) for r in m.cluster_each(df).collect()} == {(4, 0), (9, 1)}
 
 
 def test_score_without_neighbours_is_io_plus_cpu(spark):

@@ -232,6 +232,21 @@ def test_embedding_dedup(spark):
     assert embedding_dedup.link_vectors(table.limit(0)).count() == 0
 
 
+def test_embedding_links_just_above_the_threshold(spark):
+    rng = np.random.default_rng(9)
+    units = rng.normal(size=(1500, 64))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    noise = rng.normal(size=units.shape)
+    noise -= (noise * units).sum(axis=1, keepdims=True) * units
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    angle = np.arccos(rng.uniform(0.9005, 0.93, (1500, 1)))
+    near = np.cos(angle) * units + np.sin(angle) * noise
+    data = [(i, v.tolist()) for i, v in enumerate([*units, *near])]
+    got = {r.vec_id: r for r in embedding_dedup.link_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)).collect()}
+    assert all(got[i].component_id in (i, i % 1500) for i in got)
+    assert np.mean([got[i].n_links == 1 and got[i + 1500].component_id == i for i in range(1500)]) >= 0.99
+
+
 def test_sharding(docs, rows, none):
     limit = 3000
     got = {r.doc_id: r for r in sharding.assign_shards(docs, ["doc_id"], limit=limit).collect()}

@@ -291,3 +291,21 @@ def test_html(spark):
     assert got[20].text.startswith("Head {k} & more\n\nFirst")
     assert html_extract.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     assert html_extract.extract("<p>" * 3000 + "deep", None) == "deep"
+
+
+def test_html_articles_keep_nested_sections(spark):
+    """Of an article with a heading, a lead and a div or several sections nothing is lost."""
+    inner = [
+        "<h1>Head {k}</h1><p>Lead of {k}</p><div class=body><p>{long}</p></div>",
+        "<section><p>{long}</p></section><section><p>Rest of {k} {short}</p></section>",
+        "<div><div><p>{long}</p></div><p>End {k} {short}</p></div>",
+    ]
+    data, want = [], {}
+    for site, article in enumerate(inner):
+        for k in range(7):
+            words = {"k": k, "long": f"Story {k} " * 40, "short": f"part {k} " * 15}
+            body = article.format(**words)
+            data.append((site * 10 + k, f"http://site{site}.example/{k}", f"<body><nav>Menu</nav><article>{body}</article><footer>End</footer></body>"))
+            want[site * 10 + k] = [" ".join(t.split()) for t in re.findall(r"<(?:h1|p)>(.*?)</", body)]
+    got = html_extract.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text.split("\n\n") for r in got} == want

@@ -309,3 +309,32 @@ def test_html_articles_keep_nested_sections(spark):
             want[site * 10 + k] = [" ".join(t.split()) for t in re.findall(r"<(?:h1|p)>(.*?)</", body)]
     got = html_extract.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string")).collect()
     assert {r.page_id: r.text.split("\n\n") for r in got} == want
+
+
+def test_html_layouts_and_optional_siblings(spark):
+    """A div more before the content, a second layout with the same labels, several articles and words of the page's wrapper lose no text."""
+    data, want, without = [], {}, {}
+
+    def add(page_id, host, page, texts, absent=()):
+        data.append((page_id, f"http://{host}/{page_id}", page))
+        want[page_id], without[page_id] = texts, absent
+
+    for k in range(60):
+        story = " ".join(f"w{k}x{j}" for j in range(30))
+        notice = "<div>Please note our new hours</div>" if k % 3 == 1 else ""
+        add(k, "a.example", f"<body>{notice}<div>Home About Contact</div><div><h2>Title {k}</h2><p>{story}</p></div></body>", [f"Title {k}", story], ["Home About Contact"])
+        rare = f"<body><div>Home About Contact</div><div><p>{story}</p></div></body>"
+        if k % 20 == 7:
+            rare = f"<body><div><p>{story}</p></div><div>Home About Contact</div><div>Offer of the week {k} and more</div></body>"
+        add(100 + k, "b.example", rare, [story], ["Home About Contact"])
+    for k in range(6):
+        story = " ".join(f"v{k}x{j}" for j in range(30))
+        add(200 + k, "c.example", f"<body><article><p>{story}</p></article><article><p>Second {k}</p></article></body>", [story, f"Second {k}"])
+        add(300 + k, "d.example", f"<body class='search has-sidebar'><nav>Menu</nav><div class='page with-sidebar'><p>{story}</p></div></body>", [story], ["Menu"])
+        add(400 + k, "e.example", f"<body><div class='wrapper sidebar'><nav>Menu</nav><div><p>{story}</p></div></div></body>", [story], ["Menu"])
+    add(500, "f.example", "<body><article><p>One of two</p></article><article><p>Two</p></article></body>", ["One of two", "Two"])
+    got = html_extract.extract_pages(spark.createDataFrame(data, "page_id long, url string, html string").repartition(4)).collect()
+    assert len(got) == len(data)
+    for r in got:
+        texts = r.text.split("\n\n")
+        assert set(want[r.page_id]) <= set(texts) and not set(without[r.page_id]) & set(texts), (r.page_id, texts)

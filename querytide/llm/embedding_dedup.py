@@ -16,11 +16,8 @@ SIMILARITY = 0.9
 # The centroids are fitted on so many vectors at most, chosen by hash; every vector is assigned and compared.
 SAMPLE_VECTORS = 16384
 ROUNDS = 6
-# A vector lives in the cell of its nearest centroid and is looked up in every cell whose border is nearer than this. The
-# distances of two vectors from the border between their cells add up to no more than the vectors' own distance, so one of
-# them is looked up where the other lives if they are no further apart than twice the margin: a cosine of 0.98 or more.
-# For lower cosines the chance is high and is measured by a test.
-MARGIN = 0.1
+# Centroids number the square root of the vectors over this: with fewer cells fewer borders are near, and fewer copies are sent.
+CELL_SHARE = 64
 # Vectors of a block, and how many of them are compared with the other block at once.
 BLOCK = 8192
 TILE = 512
@@ -28,6 +25,16 @@ TILE = 512
 PASS_ROWS = 256
 
 
+def margin(similarity: float) -> float:
+    """How near a cell's border has to be for a vector to be looked up in that cell.
+
+    A vector lives in the cell of its nearest centroid. The distances of two vectors from the border between their cells
+    add up to no more than the vectors' own distance, so one of them is no further from it than half of that: every pair
+    with the cosine asked for meets. A little is added for rounding.
+    """
+    return math.sqrt(max(0.0, 2 - 2 * similarity)) / 2 + 1e-6
+
+
 def unit_vectors(column) -> tuple[np.ndarray, list[np.ndarray]]:
     """Which vectors are usable, and those as unit vectors in double precision."""
     usable, out = [], []
@@ -71,19 +78,19 @@ def spherical_kmeans(vectors: np.ndarray, k: int, rounds: int = ROUNDS, seed: in
 
 
 def fit_cells(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Centroids per dimension, about the square root of its vectors (a quarter of the sample at most), from a bounded sample chosen by hash."""
+    """Centroids per dimension, about the square root of its vectors over ``CELL_SHARE`` (a quarter of the sample at most), from a bounded sample chosen by hash."""
     sample = vectors.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE_VECTORS).select("v").toPandas()["v"]
     cells = {}
     for size, own in sample.groupby(sample.map(len)):
-        share = math.isqrt(n * len(own) // len(sample))
+        share = math.isqrt(n * len(own) // len(sample) // CELL_SHARE)
         cells[size] = spherical_kmeans(units_of(own), max(1, min(share, len(own) // 4)))
     return cells
 
 
-def _assigned(cells):
+def _assigned(cells, similarity: float):
     """Per vector the cell it lives in and those it is looked up in, its own among them; vectors of a dimension without centroids share one cell."""
     def run(frames):
-        known = cells.value
+        known, reach = cells.value, margin(similarity)
         for pdf in frames:
             for size, whole in pdf.groupby(pdf["v"].map(len)):
                 for begin in range(0, len(whole), PASS_ROWS):
@@ -93,7 +100,7 @@ def _assigned(cells):
                         near = units_of(part["v"]) @ known[size].T
                         home = near.argmax(axis=1)
                         gaps = np.sqrt(np.maximum(2 - 2 * known[size][home] @ known[size].T, 1e-12))
-                        close = (near.max(axis=1, keepdims=True) - near) / gaps <= MARGIN
+                        close = (near.max(axis=1, keepdims=True) - near) / gaps <= reach
                         close[np.arange(len(home)), home] = True
                     yield part.assign(size=size, home=home, cells=[np.flatnonzero(c) for c in close])[["size", "home", "cells", "vec", "n", "v"]]
 
@@ -175,7 +182,7 @@ def link_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     kind = vectors.schema[vector_col].dataType.simpleString()
     classes = staged(classes.mapInPandas(usable, f"v {kind}, vec long, n long"), "vectors")
     cells = spark.sparkContext.broadcast(fit_cells(classes, classes.count()))
-    placed = classes.mapInPandas(_assigned(cells), f"size int, home int, cells array<int>, vec long, n long, v {kind}")
+    placed = classes.mapInPandas(_assigned(cells, similarity), f"size int, home int, cells array<int>, vec long, n long, v {kind}")
     placed = staged(placed, "cells")
     looked = placed.select("size", F.explode("cells").alias("cell"), "home", "vec", "n", "v")
     # As many rows as cells.

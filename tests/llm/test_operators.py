@@ -247,6 +247,27 @@ def test_embedding_links_just_above_the_threshold(spark):
     assert np.mean([got[i].n_links == 1 and got[i + 1500].component_id == i for i in range(1500)]) >= 0.99
 
 
+def test_embedding_links_are_whole_in_few_dimensions(spark, monkeypatch):
+    """Every pair from the threshold on is found, however many cells there are."""
+    monkeypatch.setattr(embedding_dedup, "fit_cells", lambda vectors, n: {8: embedding_dedup.spherical_kmeans(units, 128)})
+    rng = np.random.default_rng(5)
+    units = rng.normal(size=(1000, 8))
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    noise = rng.normal(size=units.shape)
+    noise -= (noise * units).sum(axis=1, keepdims=True) * units
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    units = np.concatenate([units, 0.9001 * units + np.sqrt(1 - 0.9001**2) * noise])
+    cosines = units @ units.T
+    np.fill_diagonal(cosines, 0)
+    for similarity in (0.9, 0.8):
+        clear = (np.abs(cosines - similarity) > 1e-9).all(axis=1)
+        want = (cosines >= similarity).sum(axis=1)
+        data = [(i, v.tolist()) for i, v in enumerate(units)]
+        table = spark.createDataFrame(data, "vec_id long, embedding array<double>").repartition(4)
+        got = {r.vec_id: r.n_links for r in embedding_dedup.link_vectors(table, similarity=similarity).collect()}
+        assert all(got[i] == want[i] for i in got if clear[i])
+
+
 def test_sharding(docs, rows, none):
     limit = 3000
     got = {r.doc_id: r for r in sharding.assign_shards(docs, ["doc_id"], limit=limit).collect()}

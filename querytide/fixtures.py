@@ -34,7 +34,7 @@ FROM trace""",
         (),
         """SELECT query_idx, node_pos,
   CASE WHEN node_pos = 0 THEN 0 ELSE 1 + p_size % 3 END AS depth, op_name,
-  CASE WHEN op_name LIKE '%Scan' THEN concat('t', CAST(p_partkey % 16 AS {string})) END AS table_name,
+  CASE WHEN op_name LIKE '%Scan' THEN concat('t', CAST(p_partkey % (SELECT count(*) FROM supplier) AS {string})) END AS table_name,
   est_startup_cost, est_startup_cost + p_size * 10 AS est_cost,
   (p_partkey * 37) % 100000 + 1 AS est_card, CAST(p_size AS BIGINT) * 4 AS est_width,
   CASE WHEN p_partkey % 3 <> 0 THEN (p_partkey * 53) % 90000 + 1 END AS act_card
@@ -69,7 +69,7 @@ FROM trace""",
     "table_stats": (
         (),
         """SELECT concat('t', CAST(s_suppkey AS {string})) AS relname, s_suppkey AS table_id,
-  (s_suppkey * 9973) % 500000 + 1000 AS reltuples FROM supplier WHERE s_suppkey < 16""",
+  (s_suppkey * 9973) % 500000 + 1000 AS reltuples FROM supplier""",
     ),
     # Four columns per catalogue table; the share of widths that are unknown is NULL.
     "column_stats": (

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from querytide.fixtures import view
 from querytide.operators import contention as c
 from querytide.operators import evaluate as ev
 from querytide.operators import learn as m
@@ -212,3 +213,14 @@ def test_ratios_with_zeros(spark):
 
     rows = spark.createDataFrame([(2.0, 1.0), (0.0, 1.0), (1.0, 0.0), (0.0, 0.0)], "p double, l double")
     assert [r[0] for r in rows.select(q_error(F.col("p"), F.col("l"))).collect()] == [2.0, float("inf"), float("inf"), 1.0]
+
+
+def test_every_supplier_is_a_table(spark, tmp_path):
+    for name, rows, columns in (
+        ("supplier", [(i,) for i in range(40)], "s_suppkey long"),
+        ("part", [(i, "ECONOMY", 3, 9.5) for i in range(80)], "p_partkey long, p_type string, p_size int, p_retailprice double"),
+    ):
+        spark.createDataFrame(rows, columns).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert view(spark, str(tmp_path), "table_stats").count() == 40
+    assert view(spark, str(tmp_path), "column_stats").count() == 160
+    assert view(spark, str(tmp_path), "plan_nodes").select("table_name").distinct().count() == 40

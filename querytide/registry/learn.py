@@ -157,7 +157,7 @@ items AS (
   SELECT query_id, other_query_id, 0 FROM recent),
 seq AS (
   SELECT i.query_id, i.other_query_id, i.side, b.start_us AS other_start, b.query_idx AS other_idx
-  FROM items i JOIN valid b ON b.query_id = i.other_query_id WHERE b.run_us >= 5000000
+  FROM items i JOIN valid b ON b.query_id = i.other_query_id
   UNION ALL SELECT query_id, NULL, 2, start_us, NULL FROM valid)"""
 
 
@@ -172,7 +172,7 @@ LEFT JOIN feats b ON b.query_idx = q.other_idx""",
     f"{COUNTED}, {recent_of('valid', LOOKBACK_US)}, {SEQUENCE}",
 )
 def seq_features(spark, sf):
-    rows = m.sequence_features(counted(spark, sf), _features(spark, sf), lookback_us=LOOKBACK_US, min_run_us=5_000_000)
+    rows = m.sequence_features(counted(spark, sf), _features(spark, sf), lookback_us=LOOKBACK_US)
     return rows.withColumn("vector", F.transform("vector", lambda x: F.round(x, 6)))
 
 

@@ -3,7 +3,9 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
+from querytide.fixtures import view
 from querytide.registry import load
 from tests.check import TESTDATA, check_connection, compare
 
@@ -27,3 +29,9 @@ def test_query(spark, con, name):
 def test_every_check_has_a_query():
     queries, checks = load()
     assert set(checks) <= set(queries)
+
+
+def test_sequences_hold_short_neighbours(spark):
+    trace = view(spark, SF_DIR, "trace").select(F.col("query_id").alias("other_query_id"), "run_us")
+    found = load()[0]["seq_features"](spark, SF_DIR).join(trace, "other_query_id")
+    assert found.where("run_us < 5000000").count() > 0

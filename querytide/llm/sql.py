@@ -25,4 +25,42 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS kept_sha256
 FROM marked GROUP BY doc_id"""
 
-CHECK = {"op2_sharding": OP2, "op8_line_dedup": OP8}
+_FINITE = "embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0"
+
+
+def _whole(scale: int) -> str:
+    return f"[CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding]"
+
+
+def _op11(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Brute force: every part against every entry, once per round."""
+    near = """near{r} AS MATERIALIZED (SELECT vec_id, p, k, d FROM (
+  SELECT vec_id, p, k, CAST(sum((x - c) * (x - c)) AS BIGINT) AS d FROM parts JOIN book{r} USING (p, j) GROUP BY ALL)
+  QUALIFY row_number() OVER (PARTITION BY vec_id, p ORDER BY d, k) = 1)"""
+    book = """book{n} AS MATERIALIZED (SELECT b.k, b.p, b.j, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN (
+  SELECT k, p, j, sum(x) // count(*) - CASE WHEN sum(x) % count(*) < 0 THEN 1 ELSE 0 END AS c
+  FROM near{r} JOIN parts USING (vec_id, p) GROUP BY ALL) m USING (k, p, j))"""
+    steps = [near.format(r=r) + ",\n" + book.format(r=r, n=r + 1) for r in range(rounds)] + [near.format(r=rounds)]
+    return f"""
+WITH kept AS (SELECT vec_id, label, {_whole(4096)} AS v FROM embeddings WHERE {_FINITE}),
+parts AS MATERIALIZED (
+  SELECT vec_id, (i - 1) // (n // {parts}) AS p, (i - 1) % (n // {parts}) AS j, v[i] AS x
+  FROM (SELECT vec_id, v, len(v) AS n, unnest(range(1, len(v) + 1)) AS i FROM kept)),
+book0 AS MATERIALIZED (
+  SELECT k, p, j, x AS c FROM parts JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS k FROM kept QUALIFY k < {entries}) USING (vec_id)),
+{(", " + chr(10)).join(steps)},
+coded AS (SELECT vec_id, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM near{rounds} GROUP BY 1)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(CAST(c AS BIGINT) AS VARCHAR), ',' ORDER BY p, k, j)) FROM book{rounds}) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
+OP13 = f"""
+WITH kept AS (SELECT vec_id, CAST({_whole(256)} AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM kept q JOIN kept c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5"""
+
+CHECK = {"op2_sharding": OP2, "op8_line_dedup": OP8, "op11_vector_codes": _op11(), "op13_topk_search": OP13}

@@ -21,7 +21,7 @@ def test_check_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 11)} | {"pipeline"}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{n}" for n in range(1, 14)} | {"pipeline"}
 
 
 def test_pipeline(spark):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from querytide.llm import bpe, embedding_dedup, fingerprints, html_extract, langid, line_dedup, ngram_join, packing, secrets, sharding, topk_search, vector_codes
+from querytide.llm import bpe, collocations, embedding_dedup, fingerprints, html_extract, langid, line_dedup, ngram_join, packing, secrets, sharding, topk_search, vector_codes
 
 
 def table(sf_dir: str, spark: SparkSession, name: str = "documents") -> DataFrame:
@@ -73,6 +73,10 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("vec_id", vector_codes.hex_code(F.col("codes")).alias("code"), "error", "label_error", digest.alias("codebooks_sha256"))
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.first_collocations(table(sf_dir, spark))
+
+
 def op13_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(sf_dir, spark, "embeddings")
     return topk_search.top_k(vectors.where("vec_id % 50 = 0"), vectors)

@@ -55,6 +55,32 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM coded JOIN kept USING (vec_id)"""
 
 
+OP12 = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, [x FOR x IN regexp_split_to_array(piece, '[\\x20\\x09]+') IF x <> ''] AS w FROM pieces),
+grams AS (
+  SELECT lang, m, unnest([array_to_string(w[i:i + m - 1], ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3, 4]) AS m)),
+f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM grams GROUP BY ALL),
+c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 30),
+cuts AS (SELECT lang, phrase, a, w, unnest(range(1, m)) AS k FROM c),
+scored AS (
+  SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, CAST(2000000::HUGEINT * a // (l.f + r.f) AS BIGINT) AS score
+  FROM cuts c JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(w[:k], ' ')
+  JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(w[k + 1:], ' ')
+  QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, k) = 1),
+spans AS (SELECT lang, m, w, a, unnest(range(2, m)) AS s FROM c WHERE m > 2),
+longer AS (
+  SELECT lang, phrase, max(a) AS most FROM (
+    SELECT lang, a, unnest([array_to_string(w[b:b + s - 1], ' ') FOR b IN range(1, m - s + 2)]) AS phrase FROM spans) GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM scored LEFT JOIN longer USING (lang, phrase) JOIN n USING (lang)
+WHERE most IS NULL OR 100 * most < 80 * a
+QUALIFY rank <= 2000"""
+
 OP13 = f"""
 WITH kept AS (SELECT vec_id, CAST({_whole(256)} AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND {_FINITE}),
 scored AS (
@@ -63,4 +89,4 @@ scored AS (
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 5"""
 
-CHECK = {"op2_sharding": OP2, "op8_line_dedup": OP8, "op11_vector_codes": _op11(), "op13_topk_search": OP13}
+CHECK = {"op2_sharding": OP2, "op8_line_dedup": OP8, "op11_vector_codes": _op11(), "op12_collocations": OP12, "op13_topk_search": OP13}

@@ -262,10 +262,12 @@ def _named(known, n: int):
     """Texts of the phrases counted by code."""
     def run(batches):
         for batch in batches:
+            names = batch.schema.names
             coded = batch.filter(pc.is_valid(batch.column("code")))
             langs, phrases = known.value.decoded(n, coded.column("code").to_numpy())
-            yield pa.RecordBatch.from_arrays([coded.column("code"), pa.array(langs, pa.string()), pa.array(phrases, pa.string()), coded.column("n")], batch.schema.names)
-            yield batch.filter(pc.is_null(batch.column("code")))
+            yield pa.RecordBatch.from_arrays([coded.column("code"), pa.array(langs, pa.string()), pa.array(phrases, pa.string()), coded.column("n")], names)
+            rest = batch.filter(pc.is_null(batch.column("code")))
+            yield pa.RecordBatch.from_arrays([c.cast(pa.string()) if i in (1, 2) else c for i, c in enumerate(rest.columns)], names)
 
     return run
 
@@ -314,7 +316,7 @@ def phrase_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang
     words = staged(counted.where((F.col("n") >= least) | F.col("phrase").isNull()), "words")
     out = words.select("lang", "phrase", F.lit(1).alias("words"), F.col("n").alias("f"))
     ranks = Ranks()
-    frequent = words.where("phrase IS NOT NULL")
+    frequent = words.where("phrase IS NOT NULL").select(F.lit(None).cast("long").alias("code"), "lang", "phrase", "n")
     for n in range(2, longest + 1):
         _take_level(ranks, n - 1, frequent)
         known = spark.sparkContext.broadcast(ranks)

@@ -20,7 +20,7 @@ from querytide.functions.ordered import with_running
 
 # Exact type for running sums of fractional weights: differences of double
 # prefix sums would lose digits on long axes.
-WEIGHT = "decimal(24,6)"
+WEIGHT = "decimal(30,12)"
 
 
 class Mark(NamedTuple):
@@ -190,3 +190,49 @@ def range_max(
         .groupBy(row_id)
         .agg(F.max("max_inside").alias("max_inside"), F.max("max_covering").alias("max_covering"))
     )
+
+
+# Children of a node in the tree that later_deficits goes through.
+_CHILDREN = 8
+
+
+def later_deficits(rows: DataFrame, keys: Sequence[str], row_id: str, rank: str, reach: str, value: str) -> DataFrame:
+    """Per row the sum of ``value - other`` over the rows of later rank whose value is smaller: ``deficit``.
+
+    Divide and conquer over the ranks: two rows part at one level of a tree over the ranks, as different children of one
+    node. Per node the rows are ordered by value with a running count and sum per child, and each row reads
+    those of the children after its own. No pairs are formed, and a node of any size is ordered in chunks. ``reach`` is how many ranks
+    after a row its partners can lie; a level only holds rows with a child border in reach, so levels above the longest reach are thin.
+    """
+    keys, fan = list(keys), _CHILDREN
+    farthest, last = rows.agg(F.max(reach), F.max(rank)).first()
+    farthest, last = int(farthest or 0), int(last or 0)
+    places, level = [], 0
+    while fan**level <= last:
+        width = fan**level
+        child = F.expr(f"{rank} div {width}")
+        digit = child % fan
+        asks = (F.expr(f"({rank} + {reach}) div {width}") > child) & (digit < fan - 1)
+        told = (F.expr(f"greatest({rank} - {farthest}, 0) div {width}") < child) & (digit > 0)
+        place = F.struct(F.lit(level).alias("level"), F.expr(f"{rank} div {width * fan}").alias("node"), digit.cast("int").alias("child"))
+        places.append(F.when(asks | told, place))
+        level += 1
+    if not places:
+        return rows.select(row_id, F.lit(0).cast("decimal(38,0)").alias("deficit"))
+    held = F.filter(F.array(*places), lambda p: p.isNotNull())
+    put = rows.select(*keys, row_id, F.col(value).alias("_value"), F.explode(held).alias("_p")).select(*keys, row_id, "_value", "_p.*")
+    sums = {}
+    for c in range(1, fan):
+        here = F.col("child") == c
+        sums |= {f"_n{c}": here.cast("bigint"), f"_s{c}": F.when(here, F.col("_value")).otherwise(0).cast("decimal(20,0)")}
+    summed = with_running(put, [*keys, "level", "node"], ["_value", row_id], sums)
+
+    def after(kind: str) -> Column:
+        parts = [F.when(F.col("child") < c, F.col(f"_{kind}{c}")).otherwise(0) for c in range(1, fan)]
+        total = parts[0].cast("decimal(38,0)")
+        for part in parts[1:]:
+            total = (total + part).cast("decimal(38,0)")
+        return total
+
+    gap = (after("n").cast("decimal(18,0)") * F.col("_value").cast("decimal(19,0)") - after("s")).cast("decimal(38,0)")
+    return summed.groupBy(row_id).agg(F.sum(gap).cast("decimal(38,0)").alias("deficit"))

@@ -1,8 +1,8 @@
 """How much the neighbours of a run get in its way: IO, CPU and memory figures and scores.
 
-All sums over neighbours are sweep-line sums and all maxima go through a rank
-tree; only the overlapped time of later neighbours needs the pairs themselves,
-and those are summed where they are joined.
+All sums over neighbours are sweep-line sums, all maxima go through a rank tree, and the time
+that is shared with later neighbours is a sweep-line sum less what neighbours that end first leave
+out, which goes through a rank tree too. No pairs are formed.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from querytide.operators.overlap import KEYS, max_over_neighbours, neighbour_sweep, ordered_pairs
+from querytide.functions.sweep import later_deficits
+from querytide.operators.overlap import KEYS, max_over_neighbours, neighbour_sweep
 from querytide.operators.shaping import MICROS
 from querytide.session import staged
 
@@ -81,7 +82,7 @@ def data_sharing(
     )
 
 
-def _swept(runs: DataFrame, profiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _swept(runs: DataFrame, profiles: DataFrame, keys: Sequence[str], overlaps: bool = False) -> DataFrame:
     # Written once: the sweep reads its input twice (to find chunk borders, and to shuffle).
     known = staged(
         runs.select(*keys, "query_id", "query_idx", "start_us", "run_us").join(profiles, "query_idx", "left"), "known"
@@ -91,15 +92,18 @@ def _swept(runs: DataFrame, profiles: DataFrame, keys: Sequence[str]) -> DataFra
         "scan": F.col("scan_mb"),
         "card": F.col("sum_card") * MB,
         "cards": F.col("n_card"),
-        "start": F.when(F.col("average_s").isNotNull(), F.col("start_us")),
+        "start": F.col("start_us"),
     }
     payload = ["query_idx", "start_us", "run_us", "max_card"]
-    swept = staged(neighbour_sweep(known, keys, weights, payload=payload), "swept")
+    swept = staged(neighbour_sweep(known, keys, weights, payload=payload).withColumn("_end_us", F.col("start_us") + F.col("run_us")), "swept")
     peaks = max_over_neighbours(swept, "max_card", keys)
     swept = swept.drop("max_card")
     # Runs without an own profile serve as neighbours only.
     own = profiles.where(F.col("isolated_s").isNotNull() & F.col("scan_mb").isNotNull() & F.col("n_card").isNotNull())
     busy = swept.where(F.col("n_before") + F.col("n_after") > 0)
+    if overlaps:
+        deficits = later_deficits(swept.drop("max_card"), keys, "query_id", "rank", "n_after", "_end_us")
+        busy = busy.join(deficits, "query_id", "left")
     return busy.join(own, "query_idx").join(peaks, "query_id", "left")
 
 
@@ -177,18 +181,15 @@ def contention_features_split(
     With ``prior_only`` nothing is known of later neighbours and their columns are 0.
     """
     shared = data_sharing(runs, scans, sizes, keys, True, lookback_us)
-    rows = _swept(runs, profiles, keys).join(shared, "query_id", "left")
+    rows = _swept(runs, profiles, keys, not prior_only).join(shared, "query_id", "left")
     zero = F.lit(0.0)
     later = lambda value: zero if prior_only else value
     if prior_only:
         rows = rows.withColumn("_overlap_us", F.lit(None).cast("double"))
     else:
-        end = lambda side: F.col(f"{side}_start_us") + F.col(f"{side}_run_us")
-        pairs = ordered_pairs(runs, keys, ["start_us", "run_us"])
-        overlaps = pairs.groupBy(F.col("earlier_query_id").alias("query_id")).agg(
-            F.sum(F.least(end("earlier"), end("later")) - F.col("later_start_us")).alias("_overlap_us")
-        )
-        rows = rows.join(overlaps, "query_id", "left")
+        # As if every later neighbour outlasted this run, less what those that end first leave of it.
+        longest = F.col("n_after") * F.col("_end_us") - F.col("start_after")
+        rows = rows.withColumn("_overlap_us", (longest - F.coalesce("deficit", F.lit(0))).cast("double"))
     elapsed = (F.col("n_before") * F.col("start_us") - F.col("start_before")).cast("double") / MICROS
     return rows.select(
         "query_id",

@@ -232,10 +232,10 @@ SCANS = """widths AS (SELECT tablename AS table_name, sum(avg_width) AS w FROM c
 scans AS (SELECT query_idx, table_name, sum(est_card * w) / 1048576 AS scan_mb FROM plan_nodes JOIN widths USING (table_name) GROUP BY 1, 2),
 sizes AS (SELECT relname AS table_name, reltuples * w / 1048576 AS size_mb FROM table_stats JOIN (
   SELECT tablename AS relname, sum(CASE WHEN avg_width > 0 THEN avg_width ELSE 0 END) AS w FROM column_stats GROUP BY 1) USING (relname))"""
-# Weights enter sums with six decimals on both sides.
+# Weights enter sums with twelve decimals on both sides.
 SHARING = """near AS ({near}),
 parts AS (
-  SELECT v.query_id, o.table_name, any_value(o.scan_mb) AS own, coalesce(sum(CAST(t.scan_mb / z.size_mb AS DECIMAL(24,6))), 0)::DOUBLE AS f
+  SELECT v.query_id, o.table_name, any_value(o.scan_mb) AS own, coalesce(sum(CAST(t.scan_mb / z.size_mb AS DECIMAL(30,12))), 0)::DOUBLE AS f
   FROM valid v JOIN scans o ON o.query_idx = v.query_idx JOIN sizes z ON z.table_name = o.table_name
   LEFT JOIN near n ON n.query_id = v.query_id LEFT JOIN valid b ON b.query_id = n.other_query_id
   LEFT JOIN scans t ON t.query_idx = b.query_idx AND t.table_name = o.table_name
@@ -266,16 +266,29 @@ def _inputs(spark, sf):
     return rows.drop("n_prior", "n_all"), profiles, staged(scans, "scans"), pf.table_sizes(columns, tables)
 
 
+# Sizes in MB are binary fractions, which can lie just on a rounding border, so a little is added first. Weights with twelve decimals
+# differ in the last one between the engines; their sums are compared to three.
+AWAY = 1e-9
+
+
+def _away_sql(names):
+    return ", ".join(f"round({n} + {AWAY}, 3) AS {n}" for n in names)
+
+
+def _away(df, digits, *names):
+    return df.withColumns({n: F.round(F.col(n).cast("double") + AWAY, digits) for n in names})
+
+
 @register(
-    "contention_data_sharing", VIEWS, "SELECT query_id, round(sharing, 6) AS sharing FROM sharing", contention_ctes(BOTH)
+    "contention_data_sharing", VIEWS, f"SELECT query_id, round(sharing + {AWAY}, 6) AS sharing FROM sharing", contention_ctes(BOTH)
 )
 def contention_data_sharing(spark, sf):
     runs, _, scans, sizes = _inputs(spark, sf)
-    return rounded(c.data_sharing(runs, scans, sizes, lookback_us=LOOKBACK_US), 6, "sharing")
+    return _away(c.data_sharing(runs, scans, sizes, lookback_us=LOOKBACK_US), 6, "sharing")
 
 
 def _weight(name: str) -> str:
-    return f"CAST(b.{name} AS DECIMAL(24,6))"
+    return f"CAST(b.{name} AS DECIMAL(30,12))"
 
 
 def _sum(name: str, side: str = "") -> str:
@@ -296,16 +309,12 @@ feats AS (
   WHERE isolated_s IS NOT NULL AND scan_mb IS NOT NULL AND n_card IS NOT NULL)"""
 
 
-def _round_sql(names, digits=6):
-    return ", ".join(f"round({n}, {digits}) AS {n}" for n in names)
-
-
 @register(
     "contention_features", VIEWS,
-    f"SELECT query_id, query_idx, label_s, {_round_sql(c.CONTENTION_COLUMNS)} FROM feats", f"{contention_ctes(BOTH)}, {FEATURES}",
+    f"SELECT query_id, query_idx, label_s, {_away_sql(c.CONTENTION_COLUMNS)} FROM feats", f"{contention_ctes(BOTH)}, {FEATURES}",
 )
 def contention_features(spark, sf):
-    return rounded(c.contention_features(*_inputs(spark, sf), lookback_us=LOOKBACK_US), 6, *c.CONTENTION_COLUMNS)
+    return _away(c.contention_features(*_inputs(spark, sf), lookback_us=LOOKBACK_US), 3, *c.CONTENTION_COLUMNS)
 
 
 SPLIT = f"""raw AS (
@@ -329,10 +338,10 @@ feats AS (
 
 @register(
     "contention_features_split", VIEWS,
-    f"SELECT query_id, query_idx, label_s, {_round_sql(c.SPLIT_COLUMNS)} FROM feats", f"{contention_ctes(PRIOR)}, {SPLIT}",
+    f"SELECT query_id, query_idx, label_s, {_away_sql(c.SPLIT_COLUMNS)} FROM feats", f"{contention_ctes(PRIOR)}, {SPLIT}",
 )
 def contention_features_split(spark, sf):
-    return rounded(c.contention_features_split(*_inputs(spark, sf), lookback_us=LOOKBACK_US), 6, *c.SPLIT_COLUMNS)
+    return _away(c.contention_features_split(*_inputs(spark, sf), lookback_us=LOOKBACK_US), 3, *c.SPLIT_COLUMNS)
 
 
 SCORE = """scored AS (SELECT query_id, label_s, greatest(

@@ -1,36 +1,107 @@
 """Ordered computations that no single key can overload.
 
-``Window.partitionBy(key)`` sends all rows of a key to one task. Here the rows
-are range-partitioned on ``(keys, order)`` instead, so a hot key is spread over
-as many chunks as its size asks for, whatever the order column looks like. A
-window runs inside each chunk, and what earlier chunks of the same key
-contribute comes from a table with one row per (chunk, key).
+``Window.partitionBy(key)`` sends all rows of a key to one task. Here the order ``(keys, order)`` is cut into chunks of
+about equal size at split points taken from a sample, so a hot key is spread over as many chunks as its size asks for,
+whatever the order column looks like. A row's chunk follows from comparing it with the split points, so it is
+the same in every evaluation and nothing has to be written. Rows are shuffled once, to their chunk; a window
+runs inside each chunk. Only a key that a split point falls in goes on from one chunk to the next, so what earlier
+chunks contribute is a table of a few rows per chunk.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from querytide.session import staged
-
 CHUNK = "_chunk"
+# Rows of a chunk, until there are as many chunks as this; then they grow.
+CHUNK_ROWS = 1 << 15
+MOST_CHUNKS = 2048
+# Split points are chosen from rows with the smallest hashes: so many per chunk, and so many at first, which tells the number of rows.
+SAMPLE_PER_CHUNK = 8
+SAMPLE_ROWS = 1 << 10
+
+
+def _split_points(df: DataFrame, columns: Sequence[str]) -> list[tuple]:
+    """Values of ``columns`` that cut the rows into chunks of about equal size."""
+    hashed = df.select(*columns, F.xxhash64(*columns).alias("_h"))
+    wanted = SAMPLE_ROWS
+    while True:
+        sample = hashed.orderBy("_h").limit(wanted).collect()
+        n = len(sample)
+        if n == wanted:  # the share of all hashes below the last one tells the number of rows
+            n = int(n * 2.0**64 / max(1.0, sample[-1]["_h"] + 2.0**63))
+        chunks = min(MOST_CHUNKS, math.ceil(n / CHUNK_ROWS))
+        if len(sample) < wanted or wanted >= SAMPLE_PER_CHUNK * chunks:
+            break
+        wanted = SAMPLE_PER_CHUNK * chunks
+    if chunks < 2:
+        return []
+    ordered = sorted((tuple(r)[:-1] for r in sample), key=lambda t: tuple((v is not None, v) for v in t))
+    points = [ordered[i * len(ordered) // chunks] for i in range(1, chunks)]
+    return [p for i, p in enumerate(points) if i == 0 or p != points[i - 1]]
+
+
+# Split points that a decision tree is made of; of more, it is made of every n-th.
+_TREE_POINTS = 64
+
+
+def _literal(point: tuple, df: DataFrame, columns: Sequence[str]) -> Column:
+    return F.struct(*[F.lit(v).cast(df.schema[c].dataType).alias(c) for v, c in zip(point, columns)])
+
+
+def _literals(points: Sequence[tuple], df: DataFrame, columns: Sequence[str]) -> Column:
+    return F.array(*[_literal(p, df, columns) for p in points])
+
+
+def _chunk_of(points: Sequence[tuple], df: DataFrame, columns: Sequence[str]) -> Column:
+    """How many split points a row does not come before."""
+    row = F.struct(*columns)
+
+    def tree(some: Sequence[tuple], first: int) -> Column:
+        if not some:
+            return F.lit(first)
+        middle = len(some) // 2
+        before = row < _literal(some[middle], df, columns)
+        return F.when(before, tree(some[:middle], first)).otherwise(tree(some[middle + 1 :], first + middle + 1))
+
+    if len(points) <= _TREE_POINTS:
+        return tree(points, 0)
+    step = -(-len(points) // _TREE_POINTS)
+    groups = [points[i : i + step] for i in range(0, len(points), step)]
+    head = tree([g[0] for g in groups], 0)
+    inner = F.array(*[_literals(g, df, columns) for g in groups])
+    passed = F.size(F.filter(F.element_at(inner, head), lambda p: p <= row))
+    return F.when(head == 0, 0).otherwise((head - 1) * step + passed)
 
 
 class OrderedRows:
     """Rows in the order ``keys + order``; ``order`` must not leave ties.
 
-    ``keys`` must not hold NULLs. The partition number is only meaningful for
-    one evaluation of the range shuffle, so the chunked rows are written once.
+    ``keys`` must not hold NULLs. The rows are evaluated for the sample (these columns only), for the totals of cut keys and
+    for the shuffle, so an expensive or random input is to be written first.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str]):
         self.keys = list(keys)
         self.order = list(order)
-        ranged = df.repartitionByRange(*self.keys, *self.order)
-        self.df = staged(ranged.withColumn(CHUNK, F.spark_partition_id()), "ordered")
+        columns = [*self.keys, *self.order]
+        points = _split_points(df, columns)
+        chunk = df.withColumn(CHUNK, _chunk_of(points, df, columns).cast("int"))
+        # Keys that a split point falls in.
+        cut = sorted({p[: len(self.keys)] for p in points}, key=repr)
+        spans = F.lit(bool(points))
+        if self.keys and points:
+            spans = F.array_contains(_literals(cut, df, self.keys), F.struct(*self.keys))
+        self._unshuffled = chunk.withColumn("_spans", spans)
+        self.df, self._extended = self._unshuffled.repartitionById(len(points) + 1, F.col(CHUNK)), False
+
+    def _extend(self, rows: DataFrame) -> OrderedRows:
+        self.df, self._extended = rows, True
+        return self
 
     @property
     def _inside(self):
@@ -38,26 +109,32 @@ class OrderedRows:
 
     @property
     def _chunks(self):
-        # At most one row per chunk and key: bounded by the number of partitions.
+        # At most two keys of a chunk are cut, so these are a few rows per chunk.
         return Window.partitionBy(*self.keys).orderBy(CHUNK)
 
+    def _totals(self, of_input: bool, **aggregates: Column) -> DataFrame:
+        """Per chunk and cut key, from rows before their shuffle unless columns may be needed that were added after it."""
+        rows = self._unshuffled if of_input else self.df
+        return rows.where("_spans").groupBy(CHUNK, *self.keys).agg(*[c.alias(n) for n, c in aggregates.items()])
+
     def _join_chunks(self, rows: DataFrame, chunks: DataFrame) -> DataFrame:
-        return rows.join(chunks, [CHUNK, *self.keys], "left")
+        return rows.join(F.broadcast(chunks), [CHUNK, *self.keys], "left")
 
     def _add_accumulated(self, values: Mapping[str, Column], total, combine) -> OrderedRows:
         names = list(values)
         inside = self._inside.rowsBetween(Window.unboundedPreceding, 0)
         earlier = self._chunks.rowsBetween(Window.unboundedPreceding, -1)
-        chunks = (
-            self.df.groupBy(CHUNK, *self.keys)
-            .agg(*[total(values[n]).alias(f"_c_{n}") for n in names])
-            .select(CHUNK, *self.keys, *[total(f"_c_{n}").over(earlier).alias(f"_b_{n}") for n in names])
+        chunks = self._totals(not self._extended, **{f"_c_{n}": total(values[n]) for n in names}).select(
+            CHUNK, *self.keys, *[total(f"_c_{n}").over(earlier).alias(f"_b_{n}") for n in names]
         )
         rows = self.df.withColumns({n: total(values[n]).over(inside) for n in names})
         rows = self._join_chunks(rows, chunks)
         rows = rows.withColumns({n: combine(F.col(n), F.col(f"_b_{n}")) for n in names})
-        self.df = rows.drop(*[f"_b_{n}" for n in names])
-        return self
+        return self._extend(rows.drop(*[f"_b_{n}" for n in names]))
+
+    def with_columns(self, columns: Mapping[str, Column]) -> OrderedRows:
+        """Add columns worked out from a row's own, such as running ones added before."""
+        return self._extend(self.df.withColumns(dict(columns)))
 
     def add_running(self, sums: Mapping[str, Column]) -> OrderedRows:
         """Add inclusive running sums of the given columns."""
@@ -80,18 +157,13 @@ class OrderedRows:
         """
         if value != self.order[0]:
             raise ValueError("the previous value is kept for the leading order column")
-        chunks = (
-            self.df.groupBy(CHUNK, *self.keys)
-            .agg(F.max(value).alias("_last"))
-            .select(CHUNK, *self.keys, F.lag("_last").over(self._chunks).alias("_before"))
-        )
+        chunks = self._totals(True, _last=F.max(value)).select(CHUNK, *self.keys, F.lag("_last").over(self._chunks).alias("_before"))
         rows = self.df.withColumn(name, F.lag(value).over(self._inside))
         rows = self._join_chunks(rows, chunks)
-        self.df = rows.withColumn(name, F.coalesce(name, "_before")).drop("_before")
-        return self
+        return self._extend(rows.withColumn(name, F.coalesce(name, "_before")).drop("_before"))
 
     def rows(self) -> DataFrame:
-        return self.df.drop(CHUNK)
+        return self.df.drop(CHUNK, "_spans")
 
 
 def with_running(

@@ -29,7 +29,7 @@ def exact_percentiles(
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     ranked = with_running(counts, keys, ["_v"], {"_upto": F.col("_n")})
-    sizes = ranked.groupBy(*keys).agg(F.max("_upto").alias("_size"))
+    sizes = counts.groupBy(*keys).agg(F.sum("_n").alias("_size"))
     with_size = ranked.join(sizes, keys)
     last, aggs = F.col("_size") - 1, []
     for name, prob in probs.items():

@@ -54,13 +54,27 @@ def test_running_previous_and_row_number(spark, mode):
         state[k] = (t, total, n, top)
 
 
-def test_chunked_rows_are_spread(spark):
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
-    df = spark.range(8000).withColumn("k", F.lit("one key"))
-    ordered = OrderedRows(df, ["k"], ["id"])
-    sizes = [r["count"] for r in ordered.df.groupBy("_chunk").count().collect()]
-    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
-    assert len(sizes) == 8 and max(sizes) < 2 * 1000
+def test_chunked_rows_are_spread(spark, monkeypatch):
+    """One key, in as many chunks as its size asks for, however many rows the sample has of it."""
+    for chunk_rows, sample_rows in ((1000, 1 << 10), (100, 1 << 10), (50, 1 << 10), (1000, 500)):
+        monkeypatch.setattr("querytide.functions.ordered.CHUNK_ROWS", chunk_rows)
+        monkeypatch.setattr("querytide.functions.ordered.SAMPLE_ROWS", sample_rows)
+        ordered = OrderedRows(spark.range(8000).withColumn("k", F.lit("one key")), ["k"], ["id"])
+        sizes = [r["count"] for r in ordered.df.groupBy("_chunk").count().collect()]
+        assert 0.8 * 8000 <= len(sizes) * chunk_rows <= 1.3 * 8000 and max(sizes) < 2.5 * chunk_rows
+        got = ordered.add_running({"n": F.lit(1)}).rows()
+        assert got.where("n != id + 1").count() == 0 and got.count() == 8000
+
+
+def test_ordered_rows_take_one_shuffle(spark, monkeypatch):
+    """Windows of one object run on the chunks as dealt; totals are summed before the shuffle and broadcast."""
+    monkeypatch.setattr("querytide.functions.ordered.CHUNK_ROWS", 500)
+    df = spark.range(8000).withColumn("k", F.col("id") % 3)
+    rows = OrderedRows(df, ["k"], ["id"]).add_running({"a": F.col("id")}).add_previous("id", "b").rows()
+    rows.collect()
+    plan = rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Window" in plan and "SortMergeJoin" not in plan
+    assert plan.count("Exchange shufflepartitionidpassthrough") == 1
 
 
 def test_row_number_without_keys(spark, mode):

@@ -85,12 +85,12 @@ FROM table_stats JOIN (SELECT 0 AS pos, 'id' AS attname UNION ALL SELECT 1, 'fk'
         """SELECT query_id, database_id AS databaseId, run_us {div} 1000 AS durationTotal,
   created_time AS createdTime, {end_time} AS endTime FROM trace""",
     ),
-    # 20 of the 22 template numbers are known; one in five rows has a NULL third bind.
+    # One in five rows has a NULL third bind.
     "cab_templates": (
         (),
         """SELECT CAST(n_nationkey AS INT) AS template_id,
   concat('select :1, :2 from ', n_name, ' where a = :3 and b < :10 and c > :11;') AS sql
-FROM nation WHERE n_nationkey BETWEEN 1 AND 20""",
+FROM nation WHERE n_nationkey BETWEEN 1 AND 22""",
     ),
     "cab_trace": (
         ("trace",),

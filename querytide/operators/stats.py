@@ -10,9 +10,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from querytide.functions.ordered import with_running
 from querytide.functions.quantiles import exact_median
 from querytide.operators.overlap import KEYS, neighbour_sweep, valid_runs
 from querytide.operators.shaping import MICROS
+from querytide.session import staged
 
 
 def query_runtimes(trace: DataFrame, key: str = "query_idx") -> DataFrame:
@@ -185,33 +187,42 @@ def fit_queueing_curve(
 
     Without ``levels`` they are all whole numbers up to the most neighbours seen
     (higher ones are singular). For a fixed level the curve is linear, so five sums
-    solve it. Rows merge to one per (query, neighbours) before the levels are
-    unfolded: the unfolding grows with concurrency, not with the number of runs.
+    solve it. On either side of a level those are polynomials in it, whose coefficients are
+    running sums over the numbers of neighbours, so runs are not unfolded to levels.
     A singular level is no candidate.
     """
+    keys = ["query_idx"] if per_query else []
     n = F.col("n_prior" if prior_only else "n_all")
     runs = counted.where(F.col("n_all") > 0).join(isolated, "query_idx")
-    extra = (F.col("run_us") - F.col("isolated_us")) / MICROS
-    merged = runs.groupBy("query_idx", n.cast("double").alias("n"), (F.col("isolated_us") / MICROS).alias("iso")).agg(
-        F.count(F.lit(1)).alias("c"), F.sum(extra).alias("z"), F.sum(extra * extra).alias("zz")
+    many = runs.groupBy("query_idx").agg(F.count(F.lit(1)).alias("_runs")).where(F.col("_runs") >= min_runs)
+    runs = runs.join(many.select("query_idx"), "query_idx").select(
+        *keys, n.cast("double").alias("n"), (F.col("isolated_us") / MICROS).alias("iso"), ((F.col("run_us") - F.col("isolated_us")) / MICROS).alias("z")
     )
-    many = merged.groupBy("query_idx").agg(F.sum("c").alias("_runs"), F.max("n").alias("_top")).where(F.col("_runs") >= min_runs)
-    if levels is None:
-        top = F.col("_top") if per_query else many.agg(F.max("_top")).scalar()
-        candidates = F.sequence(F.lit(1), F.greatest(top, F.lit(1)).cast("int"))
-    else:
-        candidates = F.array(*[F.lit(b) for b in levels])
-    merged = merged.join(many.select("query_idx", "_top"), "query_idx")
-    at_level = merged.withColumn("b1", F.explode(candidates.cast("array<double>")))
-    u, v, c, z = F.greatest(F.col("n") - F.col("b1"), F.lit(0.0)), F.least("n", "b1") * F.col("iso"), F.col("c"), F.col("z")
-    keys = ["query_idx"] if per_query else []
-    sums = at_level.groupBy(*keys, "b1").agg(
-        F.sum(c * u * u).alias("uu"),
-        F.sum(c * u * v).alias("uv"),
-        F.sum(c * v * v).alias("vv"),
-        F.sum(u * z).alias("uz"),
-        F.sum(v * z).alias("vz"),
-        F.sum("zz").alias("zz"),
+    one, x, iso, z = F.lit(1.0), F.col("n"), F.col("iso"), F.col("z")
+    terms = {
+        "c": one, "n": x, "nn": x * x, "i": iso, "ni": x * iso, "ii": iso * iso, "nnii": x * x * iso * iso,
+        "z": z, "nz": x * z, "iz": iso * z, "niz": x * iso * z,
+    }
+    merged = staged(runs.groupBy(*keys, "n").agg(*[F.sum(t).alias(f"_{k}") for k, t in terms.items()], F.sum(z * z).alias("_zz")), "merged")
+    whole = merged.groupBy(*keys).agg(F.max("n").alias("_top"), F.sum("_zz").alias("zz"), *[F.sum(f"_{k}").alias(f"_all_{k}") for k in terms])
+    steps = F.array(*[F.lit(b) for b in levels]) if levels is not None else F.sequence(F.lit(1), F.greatest("_top", F.lit(1)).cast("int"))
+    grid = whole.select(*keys, F.explode(steps.cast("array<double>")).alias("n"), F.lit(1).alias("_tie"), *[F.lit(0.0).alias(f"_{k}") for k in terms])
+    axis = merged.select(*keys, "n", F.lit(0).alias("_tie"), *[f"_{k}" for k in terms]).unionByName(grid)
+    upto = with_running(axis, keys, ["n", "_tie"], {f"_upto_{k}": F.col(f"_{k}") for k in terms}).where("_tie = 1")
+    whole = whole.drop("_top")
+    upto = upto.join(whole, keys) if keys else upto.crossJoin(F.broadcast(whole))  # one row
+    below = {k: F.col(f"_upto_{k}") for k in terms}
+    above = {k: F.col(f"_all_{k}") - F.col(f"_upto_{k}") for k in terms}
+    b = F.col("n")
+    sums = upto.select(
+        *keys,
+        b.alias("b1"),
+        (above["nn"] - 2 * b * above["n"] + b * b * above["c"]).alias("uu"),
+        (b * (above["ni"] - b * above["i"])).alias("uv"),
+        (below["nnii"] + b * b * above["ii"]).alias("vv"),
+        (above["nz"] - b * above["z"]).alias("uz"),
+        (below["niz"] + b * above["iz"]).alias("vz"),
+        "zz",
     )
     det = F.col("uu") * F.col("vv") - F.col("uv") * F.col("uv")
     solved = (

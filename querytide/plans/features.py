@@ -5,7 +5,7 @@ Nodes are rows ``(query_idx, node_pos, depth, op_name, table_name, est_*, act_ca
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -230,37 +230,56 @@ def scan_mb(
 _WIDTHS = {"int": 4, "bigint": 8, "double": 8, "float": 4, "date": 4, "timestamp": 8, "timestamp_ntz": 8, "boolean": 1}
 
 
-def profile_columns(table: DataFrame, order: str, approximate: bool = False) -> DataFrame:
-    """Catalogue statistics per column: share of NULLs, average width, number of
-    distinct values, and the correlation of value order with row order (``order``
-    is the unique physical position)."""
-    kinds = dict(table.dtypes)
-    names = list(kinds)
-    width = lambda c: F.avg(F.octet_length(c)) if kinds[c] == "string" else F.lit(float(_WIDTHS[kinds[c]]))
-    entries = [
-        F.struct(
-            F.lit(c).alias("attname"),
-            F.avg(F.col(c).isNull().cast("double")).alias("null_frac"),
-            width(c).alias("avg_width"),
-            (F.approx_count_distinct(c) if approximate else F.lit(None).cast("bigint")).alias("_approx"),
-        )
-        for c in names
-    ]
-    basics = table.agg(F.array(*entries).alias("_e")).select(F.explode("_e").alias("_e")).select("_e.*")
+def profile_tables(tables: Mapping[str, tuple[DataFrame, str]], approximate: bool = False) -> DataFrame:
+    """Catalogue statistics per table and column: data type, share of NULLs, average width, number of distinct values, and
+    the correlation of value order with row order.
+
+    ``tables`` gives each table with the column of its unique physical position. All columns of all tables are put in order at
+    once, as rows (table, column, value), so neither a column nor a table is a job or a task of its own.
+    """
+    basics, texts, values = [], [], []
+    for name, (table, order) in tables.items():
+        kinds = dict(table.dtypes)
+        named = lambda c, *more: F.struct(F.lit(name).alias("tablename"), F.lit(c).alias("attname"), *more)  # noqa: E731, B023
+        width = lambda c: F.avg(F.octet_length(c)) if kinds[c] == "string" else F.lit(float(_WIDTHS[kinds[c]]))  # noqa: E731, B023
+        entries = [
+            named(
+                c,
+                F.lit(kinds[c]).alias("data_type"),
+                F.avg(F.col(c).isNull().cast("double")).alias("null_frac"),
+                width(c).alias("avg_width"),
+                (F.approx_count_distinct(c) if approximate else F.lit(None).cast("bigint")).alias("_approx"),
+            )
+            for c in kinds
+        ]
+        basics.append(table.agg(F.array(*entries).alias("_e")).select(F.explode("_e").alias("_e")).select("_e.*"))
+        written = F.array(*[named(c, F.col(c).cast("string").alias("v")) for c in kinds])
+        texts.append(table.select(F.explode(written).alias("_v")).select("_v.*").where("v is not null"))
+
+        def value(c: str) -> Column:
+            whole = F.lit(None).cast("bigint")
+            if kinds[c] in ("int", "bigint", "smallint", "tinyint", "boolean"):  # noqa: B023
+                whole = F.col(c).cast("bigint")
+            elif kinds[c] in ("date", "timestamp", "timestamp_ntz"):  # noqa: B023
+                whole = F.unix_micros(F.col(c).cast("timestamp"))
+            real = F.col(c).cast("double") if kinds[c] in ("double", "float") else F.lit(None).cast("double")  # noqa: B023
+            text = F.when(whole.isNull() & real.isNull(), F.col(c).cast("string"))
+            return named(c, whole.alias("_whole"), real.alias("_real"), text.alias("_text"), F.col(order).alias("_p"))  # noqa: B023
+
+        given = F.coalesce("_whole", "_real").isNotNull() | F.col("_text").isNotNull()
+        values.append(table.select(F.explode(F.array(*[value(c) for c in kinds])).alias("_v")).select("_v.*").where(given))
+    stacked = lambda parts: reduce(DataFrame.unionByName, parts)
+    keys, basics = ["tablename", "attname"], stacked(basics)
     if approximate:
-        distinct = basics.select("attname", F.col("_approx").alias("n_distinct"))
+        distinct = basics.select(*keys, F.col("_approx").alias("n_distinct"))
     else:
         # Values merge map-side under their own key first, so no column is one task.
-        texts = F.array(*[F.struct(F.lit(c).alias("attname"), F.col(c).cast("string").alias("v")) for c in names])
-        values = table.select(F.explode(texts).alias("_v")).select("_v.*").where("v is not null").distinct()
-        distinct = values.groupBy("attname").agg(F.count(F.lit(1)).alias("n_distinct"))
-    orders = []
-    for c in names:
-        pair = table.select(F.col(c).alias("_v"), F.col(order).alias("_p")).where("_v is not null")
-        ranked = with_row_number(pair, [], ["_v", "_p"], "_rank")
-        orders.append(ranked.agg(F.corr("_rank", "_p").alias("correlation")).select(F.lit(c).alias("attname"), "correlation"))
-    return (
-        basics.drop("_approx")
-        .join(distinct, "attname", "left")
-        .join(reduce(DataFrame.unionByName, orders), "attname", "left")
-    )
+        distinct = stacked(texts).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_distinct"))
+    ranked = with_row_number(stacked(values), keys, ["_whole", "_real", "_text", "_p"], "_rank")
+    orders = ranked.groupBy(*keys).agg(F.corr("_rank", "_p").alias("correlation"))
+    return basics.drop("_approx").join(distinct, keys, "left").join(orders, keys, "left")
+
+
+def profile_columns(table: DataFrame, order: str, approximate: bool = False) -> DataFrame:
+    """``profile_tables`` of one table, without its name."""
+    return profile_tables({"": (table, order)}, approximate).drop("tablename")

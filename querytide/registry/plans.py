@@ -433,5 +433,33 @@ FROM part"""
     }),
 )
 def profile_columns(spark, sf):
-    profile = f.profile_columns(view(spark, sf, "part"), "p_partkey")
+    profile = f.profile_columns(view(spark, sf, "part"), "p_partkey").drop("data_type")
     return profile.withColumns({c: F.round(c, 6) for c in ("null_frac", "avg_width", "correlation")})
+
+
+PROFILED = {
+    "nation": ("n_nationkey", {"n_nationkey": "int", "n_name": "string", "n_regionkey": "int"}),
+    "supplier": ("s_suppkey", {"s_suppkey": "bigint", "s_name": "string", "s_nationkey": "int", "s_acctbal": "double"}),
+    "orders": ("o_orderkey", {"o_orderkey": "bigint", "o_orderstatus": "string", "o_totalprice": "double", "o_orderdate": "timestamp_ntz"}),
+}
+
+
+def _profiles_check() -> str:
+    """Types are those of the files."""
+    sizes = {"INTEGER": "4", "BIGINT": "8", "DOUBLE": "8", "TIMESTAMP": "8"}
+    width = " ".join(f"WHEN '{k}' THEN {w}" for k, w in sizes.items())
+    names = "CASE typeof({c}) WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END"
+    parts = [
+        f"""SELECT '{t}' AS tablename, '{c}' AS attname, any_value({names.format(c=c)}) AS data_type, round(avg(({c} IS NULL)::INT), 6) AS null_frac,
+  round(CASE any_value(typeof({c})) {width} ELSE avg(strlen(CAST({c} AS VARCHAR))) END::DOUBLE, 6) AS avg_width, count(DISTINCT {c}) AS n_distinct,
+  round(corr(r, {order}) + 1e-9, 6) AS correlation FROM (SELECT *, row_number() OVER (ORDER BY {c}, {order}) AS r FROM {t})"""
+        for t, (order, columns) in PROFILED.items() for c in columns
+    ]
+    return " UNION ALL ".join(parts)
+
+
+@register("profile_tables", "", _profiles_check())
+def profile_tables(spark, sf):
+    tables = {t: (view(spark, sf, t).select(*columns), order) for t, (order, columns) in PROFILED.items()}
+    rows = f.profile_tables(tables)
+    return rows.withColumns({c: F.round(c, 6) for c in ("null_frac", "avg_width")} | {"correlation": F.round(F.col("correlation") + 1e-9, 6)})

@@ -461,7 +461,7 @@ def eval_by_template(spark, sf):
     PREDICTED,
 )
 def eval_q_loss(spark, sf):
-    loss = ev.q_loss(F.col("prediction_s"), F.col("label_s"), 2, 30, 10, 0.1)
+    loss = ev.q_loss(F.col("prediction_s"), F.col("label_s"), least=2, short=30, below_least=10)
     return _predictions(spark, sf).agg(F.round(F.avg(loss), 6).alias("q_loss"))
 
 

@@ -11,9 +11,9 @@ def spark():
     session.stop()
 
 
-@pytest.fixture(params=["one chunk", "several chunks", "many chunks"])
+@pytest.fixture(params=["one chunk", "several chunks"])
 def mode(request, monkeypatch):
-    """Runs a test with ordered rows in one chunk, in several, and in more than are looked through one by one."""
-    if request.param != "one chunk":
-        monkeypatch.setattr("querytide.functions.ordered.CHUNK_ROWS", 3 if request.param == "several chunks" else 1)
+    """Runs a test with ordered rows in one chunk and in several."""
+    if request.param == "several chunks":
+        monkeypatch.setattr("querytide.functions.ordered.CHUNK_ROWS", 3)
     yield request.param

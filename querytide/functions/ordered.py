@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 CHUNK = "_chunk"
 # Rows of a chunk, until there are as many chunks as this; then they grow.
-CHUNK_ROWS = 1 << 15
+CHUNK_ROWS = 1 << 16
 MOST_CHUNKS = 2048
 # Split points are chosen from rows with the smallest hashes: so many per chunk, and so many at first, which tells the number of rows.
 SAMPLE_PER_CHUNK = 8

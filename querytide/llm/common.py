@@ -62,29 +62,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0xD1342543DE82EF95
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BYTE_VALUES = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)
+# Two primes below 2^31 with a base each. A product fits 64 bits, and so does the sum of 2^32 remainders.
+_FIELDS = ((0x7FFFFFFF, 0x2545F491), (0x7FFFFFED, 0x5851F42D))
+_POWERS: dict[tuple[int, int], np.ndarray] = {}
 _IS_SPACE = np.isin(np.arange(256), list(SPACE_BYTES))
 _ASCII_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if len(_POWERS[0]) < n:
-        for i, base in enumerate((_BASE, _BASE_INVERSE)):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _POWERS[i] = np.multiply.accumulate(steps)
-    return _POWERS
+def _powers(base: int, prime: int, n: int) -> np.ndarray:
+    """The first powers of a base modulo a prime, ``n`` at least; kept in the process."""
+    known = _POWERS.get((base, prime), np.ones(1, np.uint64))
+    while len(known) < n:
+        known = np.concatenate([known, known * np.uint64(pow(base, len(known), prime)) % np.uint64(prime)])
+    _POWERS[base, prime] = known
+    return known
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte spans, equal for equal bytes wherever they stand."""
-    forward, back = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_BYTE_VALUES[raw] * forward[: len(raw)], out=sums[1:])
-    return mixed((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the byte spans, equal for equal bytes wherever they stand.
+
+    Polynomials modulo two primes and the length: modulo a power of two, words of one pattern and its
+    complement would collide whatever the base.
+    """
+    values = _BYTE_VALUES[raw]
+    parts = []
+    for prime, base in _FIELDS:
+        p = np.uint64(prime)
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(values * _powers(base, prime, len(raw))[: len(raw)] % p, out=sums[1:])
+        back = _powers(pow(base, -1, prime), prime, len(raw) + 1)
+        parts.append((sums[ends] - sums[starts]) % p * back[starts] % p)
+    return mixed(mixed(parts[0] << np.uint64(31) | parts[1]) + (ends - starts).astype(np.uint64))
 
 
 def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -14,12 +14,13 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querytide.llm.common import passes, text_bytes
+from querytide.llm.common import filled, passes, text_bytes
 from querytide.llm.pretokens import PieceTable, encode_texts, ragged
 from querytide.session import staged
 
@@ -28,20 +29,28 @@ END_ID = 0
 SHARD_TAILS = 1024
 VOCABULARY = 1 << 16
 K1, B = 1.2, 0.75
-_NEWLINE_ID = 198  # fixed value: the token of a line break in the given vocabulary
 _JOINED = 1000
 
 
 class Tokenizer:
-    """Ids of pre-tokens by the ``tokenizers`` library, each distinct one asked for once while the table holds it."""
+    """Ids of pre-tokens by the ``tokenizers`` library, each distinct one asked for once while the table holds it.
+
+    As the library does unless told otherwise, the special tokens of the file are found in texts; a text
+    that holds one is given to the library whole. The file has to be a byte-level BPE with the usual
+    pattern, a token for the line break and at most 65,536 tokens.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer as Loaded
 
         self.loaded = Loaded.from_file(path)
-        self.loaded.encode_special_tokens = True
+        self.added = [t.content for t in self.loaded.get_added_tokens_decoder().values()]
         self.table = PieceTable()
+        breaks = self._ids(["\n"])[0]
+        if len(breaks) != 1 or self.loaded.get_vocab_size() > VOCABULARY:
+            raise ValueError(f"no byte-level vocabulary of at most {VOCABULARY} tokens: {path}")
+        self.newline = breaks[0]
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.loaded.encode_batch_fast(texts, add_special_tokens=False)]
@@ -53,9 +62,9 @@ class Tokenizer:
         plain = [t for t, b in zip(texts, blank) if not b]
         joined = self._ids(["\n".join(plain[i : i + _JOINED]) + "\n" for i in range(0, len(plain), _JOINED)])
         ids = np.fromiter((i for part in joined for i in part), np.uint16)
-        breaks = np.flatnonzero(ids == _NEWLINE_ID)
+        breaks = np.flatnonzero(ids == self.newline)
         sizes = np.diff(np.concatenate([[-1], breaks])) - 1
-        ids = ids[ids != _NEWLINE_ID]
+        ids = ids[ids != self.newline]
         if any(blank):
             spaces = iter(self._ids([t for t, b in zip(texts, blank) if b]))
             runs = iter(np.split(ids, np.cumsum(sizes)[:-1]) if len(sizes) else [])
@@ -64,7 +73,16 @@ class Tokenizer:
         return ids, sizes
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        return encode_texts(*text_bytes(column), self.table, self._pieces)
+        column = filled(column)
+        marked = np.zeros(len(column), bool)
+        for token in self.added:
+            marked |= pc.match_substring(column, token).to_numpy(zero_copy_only=False)
+        if not marked.any():
+            return encode_texts(*text_bytes(column), self.table, self._pieces)
+        ids, at = encode_texts(*text_bytes(pc.if_else(pa.array(marked), pa.scalar("", pa.large_string()), column)), self.table, self._pieces)
+        whole = iter(self._ids(column.filter(pa.array(marked)).to_pylist()))
+        parts = [np.array(next(whole), np.uint16) if m else ids[b:e] for m, b, e in zip(marked.tolist(), at[:-1].tolist(), at[1:].tolist())]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts], dtype=np.int64)])
 
 
 _LOADED: dict[str, Tokenizer] = {}

@@ -80,6 +80,10 @@ class PieceTable:
         self.sizes = np.zeros(1024, np.int32)
         self.ids = np.zeros(8192, np.uint16)
         self.used = 0
+        self.piece_begins = np.zeros(1024, np.int64)
+        self.piece_sizes = np.zeros(1024, np.int64)
+        self.bytes = np.zeros(1 << 16, np.uint8)
+        self.held = 0
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The entry of each hash, -1 if it isn't known."""
@@ -93,11 +97,24 @@ class PieceTable:
             todo = todo[(found[todo] >= 0) & (self.keys[at[todo]] != hashes[todo])]
         return found
 
-    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
-        """New distinct hashes, whose ids stand one after the other in ``ids``."""
+    def differing(self, entries: np.ndarray, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Which pieces aren't those of their entries although their hashes are equal."""
+        return np.flatnonzero(_unequal(raw, starts, ends - starts, self.bytes, self.piece_begins[entries], self.piece_sizes[entries]))
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, sizes: np.ndarray, pieces: list[bytes]) -> None:
+        """New distinct hashes and their pieces, whose ids stand one after the other in ``ids``."""
         n, used = self.n + len(hashes), self.used + len(ids)
         if n > len(self.begins):
             self.begins, self.sizes = np.resize(self.begins, 2 * n), np.resize(self.sizes, 2 * n)
+            self.piece_begins, self.piece_sizes = np.resize(self.piece_begins, 2 * n), np.resize(self.piece_sizes, 2 * n)
+        lengths = np.array([len(p) for p in pieces], np.int64)
+        held = self.held + int(lengths.sum())
+        if held > len(self.bytes):
+            self.bytes = np.resize(self.bytes, 2 * held)
+        self.bytes[self.held : held] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.piece_sizes[self.n : n] = lengths
+        self.piece_begins[self.n : n] = self.held + np.cumsum(lengths) - lengths
+        self.held = held
         if used > len(self.ids):
             self.ids = np.resize(self.ids, 2 * used)
         self.sizes[self.n : n] = sizes
@@ -122,6 +139,17 @@ def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(begins - (ends - sizes), sizes)
 
 
+def _unequal(a: np.ndarray, a_begins: np.ndarray, a_sizes: np.ndarray, b: np.ndarray, b_begins: np.ndarray, b_sizes: np.ndarray) -> np.ndarray:
+    """Per pair of byte spans whether they differ."""
+    out = a_sizes != b_sizes
+    same = np.flatnonzero(~out & (a_sizes > 0))
+    sizes = a_sizes[same]
+    if len(same):
+        wrong = a[ragged(a_begins[same], sizes)] != b[ragged(b_begins[same], sizes)]
+        out[same] = np.logical_or.reduceat(wrong, np.cumsum(sizes) - sizes)
+    return out
+
+
 def encode_texts(
     raw: np.ndarray, offsets: np.ndarray, table: PieceTable, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]
 ) -> tuple[np.ndarray, np.ndarray]:
@@ -143,22 +171,35 @@ def encode_texts(
         if table.n + len(new) > table.most:
             table.forget()
             if len(np.unique(hashes)) > table.most // 2:
-                return _large(hashes, starts, ends, data, offsets, encode)
+                return _large(hashes, starts, ends, raw, offsets, encode)
             return encode_texts(raw, offsets, table, encode)  # an empty table holds all of them
-        ids, sizes = encode([data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
-        table.add(new, ids, sizes)
+        pieces = [data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+        table.add(new, *encode(pieces), pieces)
         entries[unknown] = table.find(hashes[unknown])
-    sizes = table.sizes[entries]
-    ids = table.ids[ragged(table.begins[entries], sizes)]
+    begins, sizes, ids = table.begins[entries], table.sizes[entries], table.ids
+    begins, sizes, ids = _mended(table.differing(entries, raw, starts, ends), begins, sizes, ids, raw, starts, ends, encode)
     before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    return ids, before[np.searchsorted(starts, offsets)]
+    return ids[ragged(begins, sizes)], before[np.searchsorted(starts, offsets)]
+
+
+def _mended(wrong, begins, sizes, ids, raw, starts, ends, encode):
+    """Pieces that share a hash with another one get ids of their own."""
+    if len(wrong):
+        own, counts = encode([raw[s:e].tobytes() for s, e in zip(starts[wrong].tolist(), ends[wrong].tolist())])
+        begins, sizes = begins.copy(), sizes.copy()
+        begins[wrong], sizes[wrong] = len(ids) + np.cumsum(counts) - counts, counts
+        ids = np.concatenate([ids, own])
+    return begins, sizes, ids
 
 
-def _large(hashes, starts, ends, data, offsets, encode):
+def _large(hashes, starts, ends, raw, offsets, encode):
     """More distinct pieces at once than the table should hold: they are encoded without it."""
     _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    data = raw.tobytes()
     ids, own = encode([data[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())])
     begins = np.cumsum(own) - own
-    sizes = own[inverse]
+    like = first[inverse]
+    wrong = np.flatnonzero(_unequal(raw, starts, ends - starts, raw, starts[like], (ends - starts)[like]))
+    begins, sizes, ids = _mended(wrong, begins[inverse], own[inverse], ids, raw, starts, ends, encode)
     before = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
-    return ids[ragged(begins[inverse], sizes)], before[np.searchsorted(starts, offsets)]
+    return ids[ragged(begins, sizes)], before[np.searchsorted(starts, offsets)]

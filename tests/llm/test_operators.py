@@ -134,10 +134,35 @@ def test_bpe_forgets_when_its_table_is_full():
         assert coder.encode(*text_bytes(texts))[0].tolist() == want
 
 
+def test_bpe_compares_the_bytes_of_pieces_with_one_hash(monkeypatch):
+    """A word and its complement of the pattern that makes polynomials modulo a power of two collide; then a hash of a few bits."""
+    import pyarrow as pa
+
+    from querytide.llm import pretokens
+    from querytide.llm.common import span_hashes, text_bytes
+
+    tiktoken = pytest.importorskip("tiktoken")
+    tokens = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
+    plain = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks={t: i for i, t in enumerate(tokens)}, special_tokens={})
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    texts = [word, word.translate(str.maketrans("ab", "ba")), word, "", "one two three four", prose(random.Random(1), 300)]
+    raw, at = text_bytes(pa.array(texts))
+    assert len(set(span_hashes(raw, at[:-1], at[1:]).tolist())) == 5
+    want = [plain.encode_ordinary(t) for t in texts]
+    for few, most in ((False, 1 << 20), (True, 1 << 20), (True, 4)):
+        if few:
+            monkeypatch.setattr(pretokens, "span_hashes", lambda *a: span_hashes(*a) % np.uint64(16))
+        coder = bpe.ByteBpe(tokens)
+        coder.table = pretokens.PieceTable(most)
+        for _ in range(2):
+            ids, ends = coder.encode(raw, at)
+            assert [ids[b:e].tolist() for b, e in zip(ends[:-1], ends[1:])] == want
+
+
 def test_packing(docs, rows, none):
     tokenizers = pytest.importorskip("tokenizers")
     loaded = tokenizers.Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    loaded.encode_special_tokens = True
+    assert 50256 in loaded.encode(rows[18][1], add_special_tokens=False).ids  # special tokens in texts are found
     sequences, pieces = defaultdict(list), defaultdict(list)
     for r in packing.pack(docs).collect():
         sequences[r.sequence_id].append(r)

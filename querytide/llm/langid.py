@@ -1,8 +1,9 @@
-"""Language of whole texts: multinomial naive Bayes over hashed byte n-grams."""
+"""Language of whole texts: multinomial naive Bayes over hashed character n-grams."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -12,18 +13,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from querytide.llm.common import filled, passes, text_bytes
+from querytide.llm.common import filled, passes
 
-ORDERS = (2, 3)
+ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 15
 SMOOTHING = 0.5
-# The fit reads about so many labelled rows at most, chosen by hash; scoring reads every row.
-SAMPLE_ROWS = 20000
+# The fit reads about so many labelled rows of each language at most, chosen by hash; scoring reads every row.
+SAMPLE_ROWS = 5000
 UNKNOWN = "und"
 
-# Anything but letters is one separator; bytes from 0x80 on belong to letters of other alphabets.
-_FOLD = np.array([b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256)], np.uint8)
 _LETTER = re.compile(r"[^\W\d_]")
+_FOLDS: list[np.ndarray] = []
+_SEPARATOR = 32
 
 
 def has_letter(text: str) -> bool:
@@ -31,28 +32,38 @@ def has_letter(text: str) -> bool:
     return bool((m := _LETTER.search(text)) and (m[0].isalpha() or any(map(str.isalpha, text))))
 
 
+def _fold() -> np.ndarray:
+    """Every code point as itself if it is a letter or a mark, else as the separator; made once in a process."""
+    if not _FOLDS:
+        table = np.arange(0x110000, dtype=np.uint32)
+        table[[unicodedata.category(chr(c))[0] not in "LM" for c in range(0x110000)]] = _SEPARATOR
+        _FOLDS.append(table)
+    return _FOLDS[0]
+
+
 def ngrams(column: pa.Array, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the n-grams of all texts in a row, and the offset of each text's n-grams.
+    """Buckets of the character n-grams of all texts in a row, and the offset of each text's n-grams.
 
-    Lower-cased by Python, so that accented capitals fold as well. N-grams of separators alone are left
-    out, and none spans two texts.
+    Characters are code points, lower-cased by Python so that accented capitals fold as well. A run of
+    anything but letters and marks is one separator. Separators alone are left out, and no n-gram spans two texts.
     """
-    raw, offsets = text_bytes(pa.array([t.lower() for t in filled(column).to_pylist()], pa.large_string()))
-    text = _FOLD[raw].astype(np.uint32)
+    texts = [t.lower() for t in filled(column).to_pylist()]
+    points = _fold()[np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)]
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)])
+    keep = points != _SEPARATOR
+    keep[1:] |= keep[:-1]  # the first separator of a run
+    keep[offsets[:-1][offsets[:-1] < len(points)]] = True
+    offsets = np.concatenate([[0], np.cumsum(keep, dtype=np.int64)])[offsets]
+    points = points[keep].astype(np.uint64)
+    ends = np.repeat(offsets[1:], np.diff(offsets))
+    code = np.zeros(len(points), np.uint64)
     found, owner = [], []
-    ends = np.zeros(len(text) + 1, np.int64)
-    if len(text):
-        ends[: len(text)] = np.repeat(offsets[1:], np.diff(offsets))
     for order in ORDERS:
-        n = max(0, len(text) - order + 1)
-        code = np.zeros(n, np.uint32)
-        for k in range(order):
-            code = code << np.uint32(8) | text[k : k + n]
-        keep = (np.arange(n) + order <= ends[:n]) & (code != (0x20202020 & ((1 << 8 * order) - 1)))
-        keep &= ~((text[:n] == 32) & (text[1 : n + 1] == 32)) if n else keep
-        at = np.flatnonzero(keep)
-        code = code[at] * np.uint32(0x9E3779B1) + np.uint32(order * 0x85EBCA6B & 0xFFFFFFFF)
-        found.append((code ^ code >> np.uint32(15)) * np.uint32(0x2C1B3C6D) >> np.uint32(32 - buckets.bit_length() + 1))
+        n = max(0, len(points) - order + 1)
+        code = (code[:n] + points[order - 1 :]) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+        at = np.flatnonzero(np.arange(n) + order <= ends[:n] if order > 1 else points != _SEPARATOR)
+        found.append((code[at] * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(65 - buckets.bit_length())).astype(np.uint32))
         owner.append(np.searchsorted(at, offsets))
     counts = sum(np.diff(o) for o in owner)
     out = np.empty(int(counts.sum()), np.uint32)
@@ -75,32 +86,30 @@ class Model:
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", by: Column | None = None, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Count n-grams per language over about ``sample_rows`` labelled rows at most, chosen by a hash of ``by``.
+    """Count n-grams per language over about ``sample_rows`` labelled rows of each at most, chosen by a hash of ``by`` (without it: of the text).
 
-    Rows without a text or a language teach nothing. At most languages x buckets counts come back to the driver.
+    Rows without a text or a language teach nothing; a rare language is learned from all its rows. The priors
+    are shares of all labelled rows. At most languages x buckets counts come back to the driver.
     """
     rows = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    n = rows.count()
-    if n > sample_rows:
-        chosen = F.pmod(F.xxhash64((by if by is not None else F.col(text_col)).cast("string")), F.lit(1 << 30))
-        rows = rows.where(chosen < int(sample_rows / n * (1 << 30)))
+    numbers = {str(lang): n for lang, n in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
+    if any(n > sample_rows for n in numbers.values()):
+        limits = F.create_map(*[F.lit(x) for lang, n in numbers.items() for x in (lang, int(min(1.0, sample_rows / n) * (1 << 30)))])
+        own = F.col(text_col) if by is None else F.coalesce(by.cast("string"), F.col(text_col))
+        rows = rows.where(F.pmod(F.xxhash64(own), F.lit(1 << 30)) < F.element_at(limits, F.col(lang_col).cast("string")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        texts: dict[str, int] = {}
         for batch in passes(batches, "text"):
             grams, at = ngrams(batch.column(0))
             langs = batch.column(1).to_pylist()
             for lang in set(langs):
                 of = np.flatnonzero(np.repeat([x == lang for x in langs], np.diff(at)))
                 totals[lang] = totals.get(lang, 0) + np.bincount(grams[of], minlength=BUCKETS)
-                texts[lang] = texts.get(lang, 0) + langs.count(lang)
         for lang, total in totals.items():
             held = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * (len(held) + 1), pa.string()),
-                pa.array(np.append(held, -1).astype(np.int32)),  # -1: the number of texts
-                pa.array(np.append(total[held], texts[lang]).astype(np.int64)),
+                pa.array([lang] * len(held), pa.string()), pa.array(held.astype(np.int32)), pa.array(total[held].astype(np.int64)),
             ], ["lang", "bucket", "n"])
 
     counts = (
@@ -108,14 +117,13 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", by: C
         .mapInArrow(count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     )
-    languages = sorted(set(counts["lang"]))
+    languages = sorted(numbers)
     table = np.full((BUCKETS, len(languages)), SMOOTHING)
     prior = np.ones(len(languages))
     for k, lang in enumerate(languages):
         own = counts[counts["lang"] == lang]
-        grams = own[own["bucket"] >= 0]
-        table[grams["bucket"].to_numpy(), k] += grams["n"].to_numpy()
-        prior[k] += own.loc[own["bucket"] < 0, "n"].sum()
+        table[own["bucket"].to_numpy(), k] += own["n"].to_numpy()
+        prior[k] += numbers[lang]
     return Model(languages, np.log(prior / prior.sum()), np.log(table / table.sum(axis=0)).astype(np.float32))
 
 

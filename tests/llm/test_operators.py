@@ -321,6 +321,36 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.predict(table, langid.train(table.limit(0))).collect()} == {"und"}
 
 
+def test_language_is_naive_bayes_over_characters(spark):
+    """Posteriors against a plain version that counts n-grams of code points in dictionaries."""
+    rng = random.Random(5)
+    made = {"el": "λόγος θάλασσα φως", "ja": "日本語 東京 言葉", "ru": "слово город река", "uk": "слово місто ріка"}
+    data = [(i, " ".join(rng.choice(w.split()) for _ in range(rng.randint(1, 9))).title() + rng.choice(["", " 12!  ", "..."]), lang)
+            for i, (lang, w) in enumerate(list(made.items()) * 12)]
+    table = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = langid.train(table.where("doc_id % 3 <> 0"))
+
+    def grams(text):
+        folded = re.sub(r"[\W\d_]+", " ", text.lower())
+        return [g for n in langid.ORDERS for i in range(len(folded) - n + 1) if (g := folded[i : i + n]) != " "]
+
+    counts, prior = {k: Counter() for k in made}, Counter()
+    for i, text, lang in data:
+        if i % 3:
+            counts[lang].update(grams(text))
+            prior[lang] += 1
+    for r in langid.predict(table, model).collect():
+        logs = {k: np.log((prior[k] + 1) / (sum(prior.values()) + len(made))) for k in made}
+        for k in made:
+            size = sum(counts[k].values()) + langid.SMOOTHING * langid.BUCKETS
+            logs[k] += sum(np.log((counts[k][g] + langid.SMOOTHING) / size) for g in grams(r.text))
+        best = max(sorted(logs), key=logs.get)
+        assert r.lang_pred == best
+        assert abs(r.score - 1 / sum(np.exp(v - logs[best]) for v in logs.values())) < 0.02  # a bucket may hold two n-grams
+    rare = spark.createDataFrame([*data * 3, (999, "ñandú", "gn")], "doc_id long, text string, lang string")
+    assert langid.train(rare, by=F.col("doc_id"), sample_rows=5).languages == ["el", "gn", "ja", "ru", "uk"]
+
+
 PAGE = """<html><head><title>T {k}</title><script>var t="</p>";</script></head><body><nav><a>Home {k}</a></nav><div class="ad">Buy {k}</div>
 <article><h1>Head&nbsp;{k} &amp; more</h1><p><b>First {k}.<br><p>Second   {k}
 line</p><ul><li>a{k}<li>b{k}</ul><form>send</form><div class="comments">I say {k}</div></article><footer>&copy; {k}</footer></body></html>"""

@@ -5,8 +5,9 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ _NAMES = re.compile("passw|secret|token|api", re.I | re.A)
 
 CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 CANDIDATE_CHARS = 20
-# Log-likelihood ratio a character, in nats, from which a candidate is taken for random.
-THRESHOLD = 0.8
-# Labelled samples: generated random strings, and words from so many documents at most.
+REST_CHARS = 8
+# Labelled samples: generated random strings, and names made of the most frequent words of so many documents at most.
 SAMPLE_DOCUMENTS = 5000
+SAMPLE_WORDS = 5000
 SAMPLE_STRINGS = 4000
 ALPHABETS = (
     "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
@@ -47,11 +48,14 @@ IDENTIFIERS = "configuration_file_path maximum_retry_count-default applicationCo
 
 @dataclass(frozen=True)
 class RandomModel:
-    """Log ratio of a transition under the random and the ordinary chain; ``first`` for the first character."""
+    """Log ratio of a transition under the random and the ordinary chain; ``first`` for the first character.
+
+    ``threshold`` is the ratio a character, in nats, from which a string is taken for random.
+    """
 
     first: np.ndarray
     step: np.ndarray
-    threshold: float = THRESHOLD
+    threshold: float
 
     def ratio(self, text: str) -> float:
         codes = _CODE[np.frombuffer(text.encode("ascii"), np.uint8)]
@@ -68,24 +72,68 @@ def _counts(strings: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
     return first, step
 
 
-def fit_random_model(ordinary: Iterable[str], threshold: float = THRESHOLD, seed: int = 7) -> RandomModel:
-    """Train both chains: random strings over the usual alphabets, and the given ordinary words."""
-    return _model(*_counts([*ordinary, *IDENTIFIERS]), threshold, seed)
-
-
-def _model(first: np.ndarray, step: np.ndarray, threshold: float = THRESHOLD, seed: int = 7) -> RandomModel:
-    draw = random.Random(seed)
-    made = ["".join(draw.choices(a, k=draw.randint(20, 64))) for a in ALPHABETS for _ in range(SAMPLE_STRINGS // len(ALPHABETS))]
-    logs = [np.log(c / c.sum(axis=-1, keepdims=True)) for c in (*_counts(made), first, step)]
-    return RandomModel(logs[0] - logs[2], logs[1] - logs[3], threshold)
+def _random_strings(draw: random.Random) -> list[str]:
+    """Labelled random: every alphabet alike, also without its digits."""
+    alphabets = [*ALPHABETS, *("".join(c for c in a if not c.isdigit()) for a in ALPHABETS[3:])]
+    return ["".join(draw.choices(a, k=draw.randint(20, 64))) for a in alphabets for _ in range(SAMPLE_STRINGS // len(alphabets))]
+
+
+def _identifiers(words: list[str], draw: random.Random) -> list[str]:
+    """Labelled ordinary: names that people make of words and numbers, in the usual styles, 20 characters or more."""
+    def number() -> str:
+        return str(draw.randrange(10 ** draw.randint(1, 8)))
+
+    made = []
+    for _ in range(SAMPLE_STRINGS):
+        style, parts, size = draw.randrange(8), [], 0
+        while size < 20 or draw.random() < 0.3:
+            part = number() if draw.random() < (0.9 if style == 7 else 0.15) else draw.choice(words)
+            parts.append(part)
+            size += len(part)
+        if style == 0:
+            made.append("_".join(parts))
+        elif style == 1:
+            made.append("-".join(parts))
+        elif style == 2:
+            made.append("/".join(parts))
+        elif style == 3:
+            made.append("".join(p.capitalize() for p in parts))
+        elif style == 4:
+            made.append(parts[0].lower() + "".join(p.capitalize() for p in parts[1:]))
+        elif style == 5:
+            made.append("_".join(parts).upper())
+        elif style == 6:
+            made.append("".join(parts).lower())
+        else:
+            made.append("-".join(parts))
+    return made
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_documents: int = SAMPLE_DOCUMENTS) -> RandomModel:
-    """A model whose ordinary words come from about ``sample_documents`` documents at most, chosen by hash of the id.
+def fit_random_model(ordinary: Iterable[str], threshold: float | None = None, seed: int = 7) -> RandomModel:
+    """Train both chains from labelled samples: random strings over the usual alphabets, and names made of the given words.
 
-    The sample is a bound of the fit alone; scoring reads every text. Words with digits, and what the
-    fixed patterns match, are no ordinary words. Their counts are taken in Spark: at most one row per
-    pair of symbols comes back.
+    Without a ``threshold`` it is set from labelled strings that the chains did not see: the ratio that one in
+    100 random strings falls below, or half-way from there to the one that one in 200 names exceeds if that is more.
+    """
+    draw = random.Random(seed)
+    words = [w for w in ordinary if w] + [w for i in IDENTIFIERS for w in re.findall("[A-Z]?[a-z]+", i)]
+    made, names = _random_strings(draw), _identifiers(words, draw)
+    logs = [np.log(c / c.sum(axis=-1, keepdims=True)) for c in (*_counts(made), *_counts([*words, *names]))]
+    model = RandomModel(logs[0] - logs[2], logs[1] - logs[3], threshold or 0.0)
+    if threshold is None:
+        names, made = ([model.ratio(s) for s in held] for held in (_identifiers(words, draw), _random_strings(draw)))
+        low = float(np.quantile(made, 0.01))
+        model = replace(model, threshold=max(low, (low + float(np.quantile(names, 0.995))) / 2))
+    return model
+
+
+def train(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_documents: int = SAMPLE_DOCUMENTS, sample_words: int = SAMPLE_WORDS
+) -> RandomModel:
+    """A model whose ordinary words are the ``sample_words`` most frequent of about ``sample_documents`` documents at most.
+
+    The sample is a bound of the fit alone, chosen by hash of the id; scoring reads every text. What the
+    fixed patterns match is no ordinary word. Words are counted in Spark.
     """
     n = docs.count()
     share = 1.0 if n <= sample_documents else sample_documents / n
@@ -93,25 +141,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
         F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1
     )
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, int] = {}
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in passes(batches, "text"):
+            counts: Counter[str] = Counter()
             for text in filled(batch.column(0)).to_pylist():
                 text = HEX.sub(" ", ACCESS.sub(" ", ASSIGN.sub(" ", text)))
-                for word in re.findall(r"(?<![A-Za-z0-9])[A-Za-z][A-Za-z_-]{3,63}(?![A-Za-z0-9])", text):
-                    for pair in zip("^" + word, word):
-                        key = pair[0] + pair[1]
-                        counts[key] = counts.get(key, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["pair", "n"])
-
-    found = texts.mapInArrow(pairs, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
-    first, step = _counts(IDENTIFIERS)
-    for pair, n in found:
-        if pair[0] == "^":
-            first[_CODE[ord(pair[1])]] += n
-        else:
-            step[_CODE[ord(pair[0])], _CODE[ord(pair[1])]] += n
-    return _model(first, step)
+                counts.update(re.findall(r"(?<![A-Za-z0-9])[A-Za-z][a-z]{1,15}(?![A-Za-z0-9])", text))
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    found = texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return fit_random_model([r.word for r in found.orderBy(F.desc("n"), "word").limit(sample_words).collect()])
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -126,17 +165,27 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def all_spans(text: str, base: list[tuple[int, int, int]], model: RandomModel) -> list[tuple[int, int, int]]:
-    """The base spans, and candidates outside them that the model takes for random."""
+    """The base spans, and what the model takes for random of the candidates.
+
+    Only a candidate's parts outside base spans are looked at: of an access key, a slash and a
+    random rest the rest is one more span. A part is scored if it has ``CANDIDATE_CHARS``; beside a
+    base span shorter parts (``REST_CHARS``) are too, as the whole of them is likely one secret.
+    """
     more = []
     for m in CANDIDATE.finditer(text):
-        word = m[0].strip("=-_/+")
-        begin = m.start() + m[0].index(word) if word else m.start()
-        if len(word) < CANDIDATE_CHARS or not (re.search("[0-9]", word) and re.search("[A-Za-z]", word)):
-            continue
-        if any(s < begin + len(word) and begin < e for s, _, e in base):
-            continue
-        if model.ratio(word) >= model.threshold:
-            more.append((begin, 3, begin + len(word)))
+        parts, at = [], m.start()
+        touching = [(s, e) for s, _, e in base if s < m.end() and m.start() < e]
+        for s, e in touching:
+            parts.append((at, s))
+            at = max(at, e)
+        parts.append((at, m.end()))
+        for begin, end in parts:
+            word = text[begin:end].strip("=-_/+") if begin < end else ""
+            if len(word) < (REST_CHARS if touching else CANDIDATE_CHARS):
+                continue
+            begin = text.index(word, begin)
+            if model.ratio(word) >= model.threshold:
+                more.append((begin, 3, begin + len(word)))
     return sorted(base + more) if more else base
 
 

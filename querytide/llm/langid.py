@@ -128,13 +128,16 @@ def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", by: C
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (the posterior probability of that language).
+    """``docs`` with ``lang_pred``, ``score`` (the posterior probability of that language) and ``evidence``.
+
+    ``evidence`` is how much likelier its n-grams are in that language than by chance: the mean of their log
+    probabilities less that of one bucket among all. It is null where ``lang_pred`` is ``und``.
 
     ``und`` with score 0: the text is null or has no letter, or the model knows no language. Of equally
-    likely languages the first by name is taken. All rows and other columns stay; columns of these two
+    likely languages the first by name is taken. All rows and other columns stay; columns of these three
     names are replaced. The table is bounded by languages x buckets and is sent to each executor once.
     """
-    taken = {"lang_pred", "score"}
+    taken = {"lang_pred", "score", "evidence"}
     columns = [c for c in docs.columns if c.lower() not in taken]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -142,7 +145,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for batch in passes(batches, text_col):
             text = batch.column(text_col)
             known = [bool(shared.value.languages) and has_letter(t) for t in filled(text).to_pylist()]
-            lang, score = [UNKNOWN] * len(batch), np.zeros(len(batch))
+            lang, score, evidence = [UNKNOWN] * len(batch), np.zeros(len(batch)), np.zeros(len(batch))
             if any(known):
                 grams, at = ngrams(text)
                 total = np.empty((len(batch), len(shared.value.languages)))
@@ -152,10 +155,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 best = total.argmax(axis=1)
                 odds = np.exp(total - total.max(axis=1, keepdims=True))
                 score = np.where(known, 1 / odds.sum(axis=1), 0.0)
+                mean = (total - shared.value.prior)[np.arange(len(batch)), best] / np.maximum(np.diff(at), 1)
+                evidence = mean + np.log(BUCKETS)
                 lang = [shared.value.languages[b] if k else UNKNOWN for b, k in zip(best.tolist(), known)]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in columns], pa.array(lang, pa.string()), pa.array(score, pa.float64())], [*columns, "lang_pred", "score"]
+                [
+                    *[batch.column(c) for c in columns], pa.array(lang, pa.string()), pa.array(score, pa.float64()),
+                    pa.array(evidence, pa.float64(), mask=~np.array(known, bool)),
+                ],
+                [*columns, "lang_pred", "score", "evidence"],
             )
 
-    schema = T.StructType([docs.schema[c] for c in columns]).add("lang_pred", T.StringType()).add("score", T.DoubleType())
+    schema = T.StructType([docs.schema[c] for c in columns]).add("lang_pred", T.StringType()).add("score", T.DoubleType()).add("evidence", T.DoubleType())
     return docs.select(*[F.col(f"`{c}`") for c in columns]).mapInArrow(run, schema)

@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from querytide.llm.common import SPACE_BYTES, filled, passes, without
+from querytide.session import staged
 
 MIN_CHARS = 20
 MIN_DOCUMENTS = 3
+# So many of the most frequent keys are joined by broadcast; any other one stands in a thousandth of all rows at most.
+FREQUENT_KEYS = 1000
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -76,10 +79,17 @@ def drop_shared_lines(
     # One row per key and document first: a key that a third of the corpus shares is spread by document.
     shared = (
         held.groupBy("key").agg(F.count_distinct("doc").alias("n"), F.max("doc").alias("keeper"))
-        .where(F.col("n") >= min_documents).select("key", "keeper")
+        .where(F.col("n") >= min_documents)
     )
+    shared = staged(shared, "shared_lines")
+    frequent = shared.orderBy(F.desc("n"), "key").limit(FREQUENT_KEYS).select("key", F.col("keeper").alias("known"))
+    # Rows of a frequent key have their keeper, so they are dealt by document: no other key has these bytes.
+    held = held.join(F.broadcast(frequent), "key", "left").withColumn(
+        "dealt", F.when(F.col("known").isNull(), F.col("key")).otherwise(F.concat("key", F.col("doc").cast("string").cast("binary"), F.lit(b"\x00")))
+    )
+    held = held.join(shared.select(F.col("key").alias("dealt"), "keeper"), "dealt", "left")
     drops = (
-        held.join(shared, "key").where(F.col("doc") != F.col("keeper"))
+        held.where(F.col("doc") != F.coalesce("known", "keeper"))
         .groupBy("doc").agg(F.collect_set("key").alias("_drop"))  # at most the lines of one document
     )
     joined = docs.join(drops, docs[id_col] == drops["doc"], "left").drop("doc")

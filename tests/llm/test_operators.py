@@ -89,6 +89,13 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.drop_shared_lines(none).count() == 0
 
 
+def test_line_dedup_by_either_join(docs, monkeypatch):
+    want = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_shared_lines(docs).collect()}
+    assert sum(n for _, n in want.values())
+    monkeypatch.setattr(line_dedup, "FREQUENT_KEYS", 0)
+    assert {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_shared_lines(docs).collect()} == want
+
+
 def test_secrets(docs, rows, none):
     kinds = {"assign": r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+"}
     model = secrets.train(docs)

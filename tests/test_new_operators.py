@@ -1,5 +1,6 @@
 """Runs in flight and statistics on streams, deficits, conflict ranges, large documents: hand-made and random rows against brute force."""
 
+import datetime
 import json
 import random
 from datetime import timedelta
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from querytide.functions.sweep import later_deficits
 from querytide.operators import graphs as g
+from querytide.registry import load
+from querytide.registry.learn import _node_tables, _placed
 from querytide.sources import workloads as w
 from querytide.sources.documents import read_json_parts, read_records
 from querytide.streaming import jobs as j
@@ -181,3 +184,18 @@ def test_trace_documents(spark, tmp_path, small_ranges):
     want += [(8, k, (k + 5) % 3, k + 5.5, float(k), [str(k + 5), 'a "}{" b', None, "2.5"]) for k in range(4)]
     assert got == want
     assert {r.key for r in read_json_parts(spark, str(tmp_path / "c.json")).collect()} == {"scale_factor", "queries"}
+
+
+def test_conflict_query_lists_every_edge(spark, tmp_path):
+    """``graph_conflict_edges`` gives each edge both ways, not only their number."""
+    start = datetime.datetime(2024, 1, 1)
+    events = [(i, i % 2, "view", start + datetime.timedelta(hours=40 if i == 9 else 0), 30.0 + i, '{"k": 1}') for i in range(10)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, ts timestamp_ntz, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    parts = [(101 + 100 * i, "ECONOMY", 3 + i, 10.0 * i) for i in range(4)]
+    spark.createDataFrame(parts, "p_partkey long, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i,) for i in range(5)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = load()[0]["graph_conflict_edges"](spark, str(tmp_path))
+    edges = {(r.window_id, r.table_name, r.source, r.target): r.weight for r in got.collect()}
+    ranges = g.conflict_ranges(_placed(spark, str(tmp_path)), _node_tables(spark, str(tmp_path)))
+    assert len(edges) == 2 * sum(r.n_first for r in ranges.collect()) > 0
+    assert all(edges[(w, t, b, a)] == weight < 0 for (w, t, a, b), weight in edges.items())

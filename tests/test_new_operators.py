@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from querytide.functions.sweep import later_deficits
 from querytide.operators import graphs as g
+from querytide.operators import learn
 from querytide.registry import load
 from querytide.registry.learn import _node_tables, _placed
 from querytide.sources import workloads as w
@@ -186,6 +187,18 @@ def test_trace_documents(spark, tmp_path, small_ranges):
     assert {r.key for r in read_json_parts(spark, str(tmp_path / "c.json")).collect()} == {"scale_factor", "queries"}
 
 
+def test_models_of_few_rows(spark):
+    """Nothing to learn from gives no predictions; rows that are all or none held out are all learned from."""
+    rows = spark.createDataFrame([(i, [float(i % 3)], float(i)) for i in range(20)], "query_id long, features array<double>, label_s double")
+    empty = rows.where("query_id < 0")
+    got = learn.predict_gbt(learn.fit_gbt(empty, "features", "label_s", rounds=2, depth=2), empty, "features", 0.01)
+    assert got.columns == ["query_id", "features", "label_s", "prediction_s"] and got.count() == 0
+    held = F.pmod(F.xxhash64("query_id", F.lit(0)), F.lit(5)) == 0
+    for some in (rows.where(held), rows.where(~held)):
+        predicted = learn.predict_gbt(learn.fit_gbt(some, "features", "label_s", rounds=2, depth=2), some, "features", 0.01)
+        assert predicted.where("prediction_s > 0").count() == some.count() > 0
+
+
 def test_conflict_query_lists_every_edge(spark, tmp_path):
     """``graph_conflict_edges`` gives each edge both ways, not only their number."""
     start = datetime.datetime(2024, 1, 1)

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -30,6 +31,8 @@ SHARD_TAILS = 1024
 VOCABULARY = 1 << 16
 K1, B = 1.2, 0.75
 _JOINED = 1000
+# Bytes of text that one pass works on; its arrays are eight times that, and more of them cost more time and memory.
+PASS_BYTES = 1 << 18
 
 
 class Tokenizer:
@@ -61,7 +64,7 @@ class Tokenizer:
         # Pieces of one line each stand between line breaks, which are tokens of their own and split the ids again.
         plain = [t for t, b in zip(texts, blank) if not b]
         joined = self._ids(["\n".join(plain[i : i + _JOINED]) + "\n" for i in range(0, len(plain), _JOINED)])
-        ids = np.fromiter((i for part in joined for i in part), np.uint16)
+        ids = np.fromiter(chain.from_iterable(joined), np.uint16, sum(map(len, joined)))
         breaks = np.flatnonzero(ids == self.newline)
         sizes = np.diff(np.concatenate([[-1], breaks])) - 1
         ids = ids[ids != self.newline]
@@ -99,13 +102,22 @@ def checksum(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
+def _distinct(ids: np.ndarray) -> np.ndarray:
+    """The different ids in order, by radix sort."""
+    ordered = np.sort(ids, kind="stable")
+    first = np.empty(len(ordered), bool)
+    first[:1] = True
+    np.not_equal(ordered[1:], ordered[:-1], out=first[1:])
+    return ordered[first]
+
+
 def _tokenized(path: str, names: list[str]):
     """Per document its full windows' checksums, its tail and the tail's rarest tokens; per run the tails' token counts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(VOCABULARY, np.int64)
         tails = tokens = 0
         kind = None
-        for batch in passes(batches, "text"):
+        for batch in passes(batches, "text", PASS_BYTES):
             kind = batch.schema.field(0).type
             ids, at = tokenizer(path).encode(batch.column(1))
             columns: list[list] = [[] for _ in range(6)]
@@ -113,7 +125,7 @@ def _tokenized(path: str, names: list[str]):
                 own = np.append(ids[begin:end], np.uint16(END_ID))
                 full = len(own) // WINDOW
                 tail = own[full * WINDOW :]
-                terms = np.unique(tail)
+                terms = _distinct(tail)
                 held[terms] += 1
                 tails, tokens = tails + bool(len(tail)), tokens + len(tail)
                 rare = terms[-3:][::-1].tolist() + [-1, -1, -1]

@@ -20,7 +20,9 @@ def _classes() -> np.ndarray:
     """The class of every code point; made once in a process."""
     if not _CLASSES:
         kinds = {"L": _LETTER, "N": _NUMBER}
-        table = np.array([kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x110000)], np.uint8)
+        table = np.full(0x110000, _OTHER, np.uint8)
+        # From U+40000 on there are only unassigned, tag and private code points.
+        table[:0x40000] = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], _OTHER) for c in range(0x40000)), np.uint8, 0x40000)
         table[_SPACES] = _SPACE
         _CLASSES.append(table)
     return _CLASSES[0]
@@ -64,12 +66,19 @@ def pretoken_starts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return at[start]
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """A longer copy whose new part takes no memory before it is written to."""
+    out = np.empty(n, a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class PieceTable:
     """Open addressing from piece hash to a run of ids, in numpy arrays, for ``most`` pieces."""
 
     def __init__(self, most: int = 1 << 20):
         self.most = most
-        self.bits = most.bit_length() + 1
+        self.bits = most.bit_length()
         self.forget()
 
     def forget(self) -> None:
@@ -105,18 +114,18 @@ class PieceTable:
         """New distinct hashes and their pieces, whose ids stand one after the other in ``ids``."""
         n, used = self.n + len(hashes), self.used + len(ids)
         if n > len(self.begins):
-            self.begins, self.sizes = np.resize(self.begins, 2 * n), np.resize(self.sizes, 2 * n)
-            self.piece_begins, self.piece_sizes = np.resize(self.piece_begins, 2 * n), np.resize(self.piece_sizes, 2 * n)
+            self.begins, self.sizes = _grown(self.begins, 2 * n), _grown(self.sizes, 2 * n)
+            self.piece_begins, self.piece_sizes = _grown(self.piece_begins, 2 * n), _grown(self.piece_sizes, 2 * n)
         lengths = np.array([len(p) for p in pieces], np.int64)
         held = self.held + int(lengths.sum())
         if held > len(self.bytes):
-            self.bytes = np.resize(self.bytes, 2 * held)
+            self.bytes = _grown(self.bytes, 2 * held)
         self.bytes[self.held : held] = np.frombuffer(b"".join(pieces), np.uint8)
         self.piece_sizes[self.n : n] = lengths
         self.piece_begins[self.n : n] = self.held + np.cumsum(lengths) - lengths
         self.held = held
         if used > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * used)
+            self.ids = _grown(self.ids, 2 * used)
         self.sizes[self.n : n] = sizes
         self.begins[self.n : n] = self.used + np.cumsum(sizes) - sizes
         self.ids[self.used : used] = ids

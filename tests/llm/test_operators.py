@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from querytide.llm import bpe, embedding_dedup, fingerprints, html_extract, langid, line_dedup, ngram_join, packing, secrets, sharding
+from querytide.llm import bpe, embedding_dedup, fingerprints, html_extract, langid, line_dedup, ngram_join, packing, pretokens, secrets, sharding
 from querytide.llm.components import components
 
 P = pytest.importorskip("public_tokenizers")
@@ -438,3 +438,23 @@ def test_html_layouts_and_optional_siblings(spark):
     for r in got:
         texts = r.text.split("\n\n")
         assert set(want[r.page_id]) <= set(texts) and not set(without[r.page_id]) & set(texts), (r.page_id, texts)
+
+
+def test_piece_table_is_small_and_holds_its_pieces():
+    """A table takes 24 MB for 2^20 pieces before they come, and finds every piece of a full one."""
+    empty = pretokens.PieceTable()
+    assert empty.keys.nbytes + empty.slots.nbytes <= 24 << 20
+    table = pretokens.PieceTable(64)
+    hashes = np.arange(1, 65, dtype=np.uint64) << np.uint64(7)  # all want one slot
+    for some in np.split(hashes, 4):
+        begin = table.n
+        table.add(some, np.arange(begin, begin + 16, dtype=np.uint16), np.ones(16, np.int64), [b"%d" % i for i in range(begin, begin + 16)])
+    assert table.find(hashes).tolist() == list(range(64)) and table.find(hashes + np.uint64(1)).tolist() == [-1] * 64
+    assert table.ids[table.begins[:64]].tolist() == list(range(64)) and bytes(table.bytes[: table.held]) == b"".join(b"%d" % i for i in range(64))
+
+
+def test_distinct_ids():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 1024):
+        ids = rng.integers(0, 700, n).astype(np.uint16)
+        assert packing._distinct(ids).tolist() == sorted(set(ids.tolist()))

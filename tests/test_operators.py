@@ -224,3 +224,41 @@ def test_every_supplier_is_a_table(spark, tmp_path):
     assert view(spark, str(tmp_path), "table_stats").count() == 40
     assert view(spark, str(tmp_path), "column_stats").count() == 160
     assert view(spark, str(tmp_path), "plan_nodes").select("table_name").distinct().count() == 40
+
+
+@pytest.mark.parametrize(("prior_only", "lookback_us"), [(False, None), (True, 20), (False, 20)])
+def test_data_sharing_unfolds_to_classes_of_tables(spark, monkeypatch, prior_only, lookback_us):
+    runs = [(i, i % 2, (0, 1, 0, 2, 1, 0, 2, 1)[i], 7 * i, 35) for i in range(8)] + [(8, 0, 0, 60, 5), (9, 1, 2, 500, 10), (10, 0, 7, 1, 90)]
+    # Forty tables of one query, three of two queries, and one of two queries.
+    scans = [(0, f"a{i}", 1.0 + i) for i in range(40)] + [(q, f"b{i}", 2.0 + q + i) for q in (0, 1) for i in range(3)] + [(1, "c", 3.0), (2, "c", 5.0)]
+    sizes = {t: 8.0 * (i % 5) for i, t in enumerate(dict.fromkeys(t for _, t, _ in scans))}
+    scanned = {(q, t): mb for q, t, mb in scans}
+    want = {}
+    for i, db, q, start, run in runs:
+        near = [r for r in runs if r[1] == db and r[0] != i and (r[3], r[0]) < (start, i) and r[3] + r[4] > start]
+        if not prior_only:
+            near += [r for r in runs if r[1] == db and (start, i) < (r[3], r[0]) and r[3] < start + run]
+        if lookback_us is not None:
+            near += [r for r in runs if r[1] == db and r[0] != i and start - lookback_us < r[3] + r[4] <= start]
+        own = {t: mb for (p, t), mb in scanned.items() if p == q}
+        share = {t: sum(round(scanned[r[2], t] / sizes[t], 12) for r in near if (r[2], t) in scanned and sizes[t]) for t in own}
+        if own:
+            want[i] = min(sum(min(share[t] * mb, mb) for t, mb in own.items()) / sum(own.values()), 1.0)
+    swept = []
+
+    def counting(rows, *args, **kwargs):
+        swept.append(rows.count())
+        return neighbour_sweep(rows, *args, **kwargs)
+
+    neighbour_sweep = c.neighbour_sweep
+    monkeypatch.setattr(c, "neighbour_sweep", counting)
+    found = c.data_sharing(
+        spark.createDataFrame(runs, "query_id bigint, database_id bigint, query_idx int, start_us bigint, run_us bigint"),
+        spark.createDataFrame(scans, "query_idx int, table_name string, scan_mb double"),
+        spark.createDataFrame([*sizes.items()], "relname string, size_mb double"),
+        prior_only=prior_only, lookback_us=lookback_us,
+    )
+    assert {r["query_id"]: r["sharing"] for r in found.collect()} == pytest.approx(want)
+    assert len(set(want.values())) > 3
+    # Per run at most one row of the first class, two of the second, one of the third; not one of each table.
+    assert sum(swept) <= 3 * len(runs)

@@ -66,6 +66,33 @@ def test_chunked_rows_are_spread(spark, monkeypatch):
         assert got.where("n != id + 1").count() == 0 and got.count() == 8000
 
 
+def test_chunks_of_many_points(spark, monkeypatch):
+    """Chunks follow the order for any number of split points, and a key counts as cut where it has rows in several chunks."""
+    rng = np.random.default_rng(5)
+    rows = [("a" if i < 900 else f"k{i % 200}", None if i % 9 == 0 else float("nan") if i % 7 == 0 else float(v), i) for i, v in enumerate(rng.integers(0, 50, 3000))]
+    df = spark.createDataFrame(rows, "k string, v double, id int")
+    number = lambda v: (0, 0) if v is None else (2, 0) if v != v else (1, v)
+    expected = {r[2]: n for n, r in enumerate(sorted(rows, key=lambda r: (r[0], number(r[1]), r[2])))}
+    for chunk_rows in (2000, 700, 40, 9):  # 1 to over 300 split points
+        monkeypatch.setattr("querytide.functions.ordered.CHUNK_ROWS", chunk_rows)
+        got = sorted(OrderedRows(df, ["k"], ["v", "id"]).df.collect(), key=lambda r: expected[r["id"]])
+        chunks = [r["_chunk"] for r in got]
+        assert chunks == sorted(chunks) and len(set(chunks)) >= 0.7 * 3000 / chunk_rows
+        several = {k for k in {r["k"] for r in got} if len({r["_chunk"] for r in got if r["k"] == k}) > 1}
+        assert several <= {r["k"] for r in got if r["_spans"]}
+        assert len({r["k"] for r in got if r["_spans"]}) < len(set(chunks))
+
+
+def test_sample_sends_few_rows(spark, monkeypatch):
+    """All tasks together send little more than the sample, not as much each."""
+    monkeypatch.setattr("querytide.functions.ordered.CHUNK_ROWS", 40)
+    kind = type(spark.range(1))
+    seen, limit = [], kind.limit
+    monkeypatch.setattr(kind, "limit", lambda df, n: seen.append((n, df.count())) or limit(df, n))
+    OrderedRows(spark.range(0, 40_000, 1, 16), [], ["id"])
+    assert all(rows < 2 * n for n, rows in seen[1:]) and len(seen) > 1
+
+
 def test_ordered_rows_take_one_shuffle(spark, monkeypatch):
     """Windows of one object run on the chunks as dealt; totals are summed before the shuffle and broadcast."""
     monkeypatch.setattr("querytide.functions.ordered.CHUNK_ROWS", 500)

@@ -8,9 +8,11 @@ from datetime import timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from querytide.functions.ordered import with_row_number
 from querytide.functions.sweep import later_deficits
 from querytide.operators import graphs as g
 from querytide.operators import learn
+from querytide.plans import features
 from querytide.registry import load
 from querytide.registry.learn import _node_tables, _placed
 from querytide.sources import workloads as w
@@ -212,3 +214,29 @@ def test_conflict_query_lists_every_edge(spark, tmp_path):
     ranges = g.conflict_ranges(_placed(spark, str(tmp_path)), _node_tables(spark, str(tmp_path)))
     assert len(edges) == 2 * sum(r.n_first for r in ranges.collect()) > 0
     assert all(edges[(w, t, b, a)] == weight < 0 for (w, t, a, b), weight in edges.items())
+
+
+def test_plan_document_without_broadcast(spark, tmp_path, monkeypatch):
+    """The document's texts go from task to task, not through the driver."""
+    from pyspark.sql import DataFrameWriter
+
+    from querytide.registry import sources
+
+    part = "id AS p_partkey, 'SMALL' AS p_type, CAST(id % 9 AS INT) AS p_size, CAST(id AS DOUBLE) AS p_retailprice"
+    spark.range(900).selectExpr(*part.split(", ")).write.parquet(f"{tmp_path}/part.parquet")
+    spark.range(1, 4).select(F.col("id").alias("s_suppkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    plans, text = [], DataFrameWriter.text
+    monkeypatch.setattr(DataFrameWriter, "text", lambda w, *a, **k: plans.append(w._df._jdf.queryExecution().executedPlan().toString()) or text(w, *a, **k))
+    nodes, columns, tables = w.read_parsed_plans(spark, sources._document(spark, str(tmp_path)))
+    # Only the four column names of the catalogue view are broadcast.
+    assert len(plans) == 1 and "BroadcastHashJoin" not in plans[0] and plans[0].count("BroadcastNestedLoopJoin") <= 1
+    assert (columns.count(), tables.count()) == (12, 3)
+
+
+def test_profile_reads_in_many_tasks(spark, monkeypatch):
+    """Columns are unfolded and ordered by more tasks than the table has files."""
+    seen = []
+    monkeypatch.setattr(features, "with_row_number", lambda df, *a: seen.append(df.rdd.getNumPartitions()) or with_row_number(df, *a))
+    table = spark.range(0, 300_000, 1, 1).select("id", F.md5(F.col("id").cast("string")).alias("text"))
+    got = {r["attname"]: r for r in features.profile_columns(table, "id").collect()}
+    assert seen[0] > 1 and got["text"]["n_distinct"] == 300_000 and round(got["id"]["correlation"], 9) == 1

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from querytide.functions.ordered import with_row_number
-from querytide.functions.sweep import later_deficits
+from querytide.functions.sweep import block_size, later_deficits, unfold_ranges
 from querytide.operators import graphs as g
 from querytide.operators import learn
 from querytide.plans import features
@@ -240,3 +240,13 @@ def test_profile_reads_in_many_tasks(spark, monkeypatch):
     table = spark.range(0, 300_000, 1, 1).select("id", F.md5(F.col("id").cast("string")).alias("text"))
     got = {r["attname"]: r for r in features.profile_columns(table, "id").collect()}
     assert seen[0] > 1 and got["text"]["n_distinct"] == 300_000 and round(got["id"]["correlation"], 9) == 1
+
+
+@pytest.mark.parametrize("length", [1, 100, 20_000])
+def test_ranges_unfold_to_a_few_blocks_however_long(spark, length):
+    """With blocks of 64 the longest ranges here unfolded to 313 rows each."""
+    rows = 1 << 17
+    ranges = spark.range(rows).select(F.col("id").alias("low"), (F.col("id") + length - 1).alias("high"))
+    block = block_size(ranges, "low", "high")
+    assert block == max(64, min(length // 4, rows // 512))
+    assert unfold_ranges(ranges, "low", "high", block).count() <= (length / block + 2) * rows

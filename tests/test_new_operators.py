@@ -12,6 +12,7 @@ from querytide.functions.ordered import with_row_number
 from querytide.functions.sweep import block_size, later_deficits, unfold_ranges
 from querytide.operators import graphs as g
 from querytide.operators import learn
+from querytide.operators import overlap as o
 from querytide.plans import features
 from querytide.registry import load
 from querytide.registry.learn import _node_tables, _placed
@@ -250,3 +251,50 @@ def test_ranges_unfold_to_a_few_blocks_however_long(spark, length):
     block = block_size(ranges, "low", "high")
     assert block == max(64, min(length // 4, rows // 512))
     assert unfold_ranges(ranges, "low", "high", block).count() <= (length / block + 2) * rows
+
+
+TRACE = "query_id bigint, database_id int, start_us bigint, run_us bigint, query_idx int, engine string, error boolean"
+
+
+def lists_by_hand(rows, back):
+    """Per id: earlier, later and recent ids by start."""
+    out = {}
+    by_start = sorted(set(rows), key=lambda r: (r[2], r[0]))
+    for i, d, s, r, *_ in by_start:
+        same = [x for x in by_start if x[1] == d and x[0] != i]
+        out[i] = (
+            [x[0] for x in same if (x[2], x[0]) < (s, i) and x[2] + x[3] > s],
+            [x[0] for x in same if (x[2], x[0]) > (s, i) and x[2] < s + r],
+            [x[0] for x in same if s - back < x[2] + x[3] <= s],
+        )
+    return out
+
+
+def busy_trace(n=260, seed=3):
+    rng = random.Random(seed)
+    return [(i, rng.choice([0, 0, 1]), rng.randrange(500) * 10 + i % 10, rng.choice([1, 9, 300, 3000]), i % 5, "e", False) for i in range(n)]
+
+
+@pytest.mark.parametrize("again", [(), (3, 77, 200)])
+def test_neighbour_lists_without_shuffled_pairs(spark, mode, monkeypatch, again):
+    """Several blocks, ids that repeat, and a run without database: its lists are empty."""
+    monkeypatch.setattr("querytide.functions.sweep.LEAST_BLOCKS", 2)
+    rows = busy_trace()
+    want = lists_by_hand(rows, 50)
+    trace = spark.createDataFrame([*rows, *[rows[k] for k in again], (999, None, 5, 700, 1, "e", False)], TRACE)
+    got = o.concurrency_dataset(trace, lookback_us=50).collect()
+    assert len(got) == len(rows) + len(again) + 1
+    ids = lambda found: [x["query_id"] for x in found]
+    for r in got:
+        earlier, later, recent = want.get(r["query_id"], ([], [], []))
+        assert sorted(ids(r["concur_info_train"])) == sorted(earlier) and sorted(ids(r["concur_info"])) == sorted(earlier + later), r["query_id"]
+        assert all(list(r[c]) == sorted(r[c]) for c in ("concur_info", "concur_info_train", "pre_exec_info"))
+        assert sorted(ids(r["pre_exec_info"])) == sorted(recent) and r["num_concurrent_queries"] == len(earlier + later)
+
+
+def test_dataset_moves_no_pairs(spark):
+    """All 400 runs overlap: 159,600 neighbours, formerly each a shuffled row of its own before lists were collected."""
+    trace = spark.createDataFrame([(i, 0, i, 10_000, i % 5, "e", False) for i in range(400)], TRACE)
+    plan = o.concurrency_dataset(trace)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list(struct(start_us" not in plan and plan.count("Join Inner") <= 1, plan
+    assert {r["num_concurrent_queries"] for r in o.concurrency_dataset(trace).collect()} == {399}

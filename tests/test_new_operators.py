@@ -298,3 +298,27 @@ def test_dataset_moves_no_pairs(spark):
     plan = o.concurrency_dataset(trace)._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list(struct(start_us" not in plan and plan.count("Join Inner") <= 1, plan
     assert {r["num_concurrent_queries"] for r in o.concurrency_dataset(trace).collect()} == {399}
+
+
+@pytest.mark.parametrize("again", [(), (3, 77)])
+def test_sequences_against_lists_by_hand(spark, again):
+    """Positions, lengths and vectors; a query without features gives no items but is met as zeros."""
+    rows = busy_trace(120)
+    want, by_id = lists_by_hand(rows, 50), {r[0]: r for r in rows}
+    trace = spark.createDataFrame([*rows, *[rows[k] for k in again]], TRACE)
+    features = spark.createDataFrame([(k, [float(k), 1.0]) for k in range(4)], "query_idx int, features array<double>")
+    got = sorted((tuple(r) for r in learn.sequence_features(trace, features, lookback_us=50).collect()), key=lambda r: (r[0], r[1]))
+    out = []
+    known = lambda i: [float(by_id[i][4]), 1.0] if by_id[i][4] < 4 else None
+    for i in sorted(want):
+        earlier, later, recent = want[i]
+        recent = sorted(recent, key=lambda k: (by_id[k][2], k))
+        times = 1 + (i in again)
+        items = [*[(0, k) for k in recent], *[(1, k) for k in earlier], *[(2, None)] * times, *[(3, k) for k in later]]
+        for place, (side, k) in enumerate(items, 1):
+            if known(i):
+                apart = (by_id[k][2] - by_id[i][2]) / 1e6 if k is not None else 0.0
+                other = (known(k) if k is not None else None) or [0.0, 0.0]
+                vector = [*known(i), float(side == 1), float(side == 3), *other, -abs(apart), float(side == 0), 0.0]
+                out.append((i, place, side, k, len(recent) + len(earlier) + times, vector))
+    assert got == out

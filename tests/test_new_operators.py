@@ -322,3 +322,17 @@ def test_sequences_against_lists_by_hand(spark, again):
                 vector = [*known(i), float(side == 1), float(side == 3), *other, -abs(apart), float(side == 0), 0.0]
                 out.append((i, place, side, k, len(recent) + len(earlier) + times, vector))
     assert got == out
+
+
+def test_recent_finished_looks_back_as_far_as_the_source(spark, tmp_path):
+    """A run that ended 199.9 s before a start is met, one that ended 200.9 s before it is not."""
+    from querytide.registry import load
+
+    events = spark.sql(
+        """SELECT CAST(id AS BIGINT) AS event_id, 4L AS user_id, 'click' AS event_type, 0.1D AS value, '{"k": 1}' AS props,
+  CAST(timestamp_seconds(1704067200 + start * 60) AS TIMESTAMP_NTZ) AS ts
+FROM VALUES (0, -1), (1, 0), (2, 1), (3, 200) AS v(id, start)"""
+    )
+    events.write.parquet(f"{tmp_path}/events.parquet")
+    got = load()[0]["conc_recent_finished"](spark, str(tmp_path))
+    assert {(r.query_id, r.other_query_id) for r in got.collect()} == {(3, 1), (3, 2), (2, 1), (2, 0), (1, 0)}

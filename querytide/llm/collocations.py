@@ -343,8 +343,10 @@ def _cuts(counts: DataFrame) -> DataFrame:
         _joined(words, F.col("k") + 1, F.col("words") - F.col("k")).alias("_r"), F.pmod(F.xxhash64("phrase"), F.lit(SALTS)).cast("int").alias("_salt"),
     )
     parts = counts.where("phrase IS NOT NULL").select("lang", "phrase", "f", F.explode(F.lit(list(range(SALTS)))).alias("_salt"))
+    # After the copies are made the planner still takes the size of the table before, and would broadcast all of them.
     for name in ("l", "r"):
-        cut = cut.join(parts.select("lang", F.col("phrase").alias(f"_{name}"), F.col("f").alias(name), "_salt"), ["lang", f"_{name}", "_salt"])
+        part = parts.select("lang", F.col("phrase").alias(f"_{name}"), F.col("f").alias(name), "_salt")
+        cut = cut.join(part.hint("merge"), ["lang", f"_{name}", "_salt"])
     # Whole numbers of more than 64 bits.
     return cut.withColumn("score", F.expr(f"(CAST(a AS DECIMAL(20,0)) * {SCORE_SCALE}) div CAST(l + r AS DECIMAL(20,0))"))
 
@@ -355,7 +357,7 @@ def _kept(counts: DataFrame) -> DataFrame:
     longer = counts.where("words > 2").select("lang", "f", F.split("phrase", " ").alias("_words"), F.explode(spans).alias("_s"))
     longer = longer.select("lang", _joined(F.col("_words"), F.col("_s.b"), F.col("_s.m")).alias("phrase"), "f")
     longer = longer.groupBy("lang", "phrase").agg(F.max("f").alias("_longer"))
-    kept = best.join(longer, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("_longer") < INSIDE * F.col("a"), F.lit(True)))
+    kept = best.join(longer.hint("merge"), ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("_longer") < INSIDE * F.col("a"), F.lit(True)))
     return kept.select("lang", "phrase", "a", "l", "r", "score")
 
 

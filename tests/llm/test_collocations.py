@@ -95,3 +95,11 @@ def test_edges(spark):
     assert found(spark, long) == by_hand(long)
     full = [(i, "Up down", "xx") for i in range(30)]
     assert found(spark, full) == [("xx", 1, "up down", 30, 30, 30, 60, 1000000)]
+
+
+def test_copies_of_the_counts_are_not_broadcast(spark):
+    """Their rows are many times those that the planner sees, so they are joined by a shuffle however small they seem."""
+    counts = spark.createDataFrame([("en", w, len(w.split()), f) for w, f in (("a", 90), ("b", 80), ("c", 70), ("a b", 60), ("a b c", 40))], "lang string, phrase string, words int, f long")
+    kept = collocations._kept(counts)
+    assert {r.phrase for r in kept.collect()} == {"a b", "a b c"}
+    assert "Broadcast" not in kept._jdf.queryExecution().executedPlan().toString()

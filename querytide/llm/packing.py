@@ -154,7 +154,7 @@ class Shard:
         terms = [np.unique(t, return_counts=True) for t in tails]
         self.terms = [t[idf[t] > 0] for t, _ in terms]
         kept = [c[idf[t] > 0] for t, c in terms]
-        sizes = np.array([len(t) for t in self.terms])
+        sizes = np.array([len(t) for t in self.terms], np.int64)
         owner = np.repeat(np.arange(len(tails)), sizes)
         term = np.concatenate(self.terms) if len(tails) else np.zeros(0, np.uint16)
         often = np.concatenate(kept).astype(np.float64) if len(tails) else np.zeros(0)

@@ -211,6 +211,14 @@ def test_packing(docs, rows, none):
     assert packing.pack(none).count() == 0
 
 
+def test_packing_of_whole_windows_only(spark):
+    """Shards whose documents all end with a window have no tails; documents without tails stand next to each other."""
+    data = [(k, "a" + " a" * (packing.WINDOW * (1 + k % 2) - 2)) for k in range(6)]
+    got = packing.pack(spark.createDataFrame(data, "doc_id long, text string").repartition(2)).collect()
+    assert sorted((r.doc_id, r.start, r.length, r.offset) for r in got) == sorted((k, w * packing.WINDOW, packing.WINDOW, 0) for k in range(6) for w in range(1 + k % 2))
+    assert len({r.sequence_id for r in got}) == 9
+
+
 def test_packing_prefers_what_is_alike():
     rng = np.random.default_rng(0)
     topics = [rng.integers(1000 * k, 1000 * k + 40, 400).astype(np.uint16) for k in range(1, 5) for _ in range(2)]

@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from querytide.llm.common import mixed, passes, shingle_sets, text_bytes, word_hashes
 from querytide.llm.components import components
-from querytide.session import staged
+from querytide.session import drop_staged, staged
 
 SHINGLE_BITS = 20
 WORD_BITS = 18
@@ -159,10 +159,11 @@ def _flips(a: Column, b: Column) -> Column:
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, firsts: DataFrame, width: int, similarity: int, label: str) -> DataFrame:
-    """Those of the ``pairs`` (x, y) of classes whose sets are similar enough, written out. ``pairs`` is a written table."""
+    """Those of the ``pairs`` (x, y) of classes whose sets are similar enough, written out. ``pairs`` is a written table and deleted."""
     wide = [classes.select(F.col("node").alias(e), F.col("n").alias(f"n{e}"), F.col("parity").alias(f"p{e}")) for e in "xy"]
     few = (100 + similarity) * _flips(F.col("px"), F.col("py")) <= (100 - similarity) * (F.col("nx") + F.col("ny"))
-    pairs = staged(pairs.join(wide[0], "x").join(wide[1], "y").where(few).select("x", "y"), f"{label}-pairs")
+    asked, pairs = pairs, staged(pairs.join(wide[0], "x").join(wide[1], "y").where(few).select("x", "y"), f"{label}-pairs")
+    drop_staged(asked)
     nodes = staged(pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct().join(firsts, "node"), f"{label}-nodes")
     ids = F.broadcast(nodes) if nodes.count() <= BROADCAST_ROWS else nodes
     # A class's text is that of any row with its id whose set has its hash: with repeated ids there may be several texts.
@@ -171,7 +172,9 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, firsts: Dat
     x, y = own.select(F.col("node").alias("x"), F.col("tokens").alias("tx")), own.select(F.col("node").alias("y"), F.col("tokens").alias("ty"))
     common = F.size(F.array_intersect("tx", "ty"))
     both = pairs.join(x, "x").join(y, "y")
-    return staged(both.where(100 * common >= similarity * (F.size("tx") + F.size("ty") - common)).select("x", "y"), f"{label}-links")
+    links = staged(both.where(100 * common >= similarity * (F.size("tx") + F.size("ty") - common)).select("x", "y"), f"{label}-links")
+    drop_staged(pairs, nodes, own)
+    return links
 
 
 def _own_sets(width: int):
@@ -218,18 +221,19 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     centres = staged(centres.select("key", F.col("top.node").alias("y"), F.col("top.n").alias("ny")), "centres")
     alike = 100 * F.least("n", "ny") >= similarity * F.greatest("n", "ny")
     stars = keyed.join(centres, "key").where(alike & (F.col("node") != F.col("y"))).select(F.least("node", "y").alias("x"), F.greatest("node", "y").alias("y")).distinct()
-    stars = _verified(staged(stars, "stars"), classes, docs, firsts, width, similarity, "stars")
+    stars = staged(stars, "stars")
+    drop_staged(keyed, centres)
+    stars = _verified(stars, classes, docs, firsts, width, similarity, "stars")
     joined = staged(components(stars), "joined")
 
     # Then every pair that shares a prefix token under each order and isn't connected yet.
     near = classes.join(joined, "node", "left").withColumn("part", F.coalesce("component", "node"))
     held = near.select("node", "part", F.explode("a").alias("token"))
     tokens = staged(held.groupBy("token").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("token"), "tokens")
-    if tokens.count() <= BROADCAST_ROWS:
-        tokens = F.broadcast(tokens)
     carried = ["node", "part", "n", *PARITY]
-    held = held.select("node", "token").join(tokens, "token").join(near.select(*carried), "node")
+    held = held.select("node", "token").join(F.broadcast(tokens) if tokens.count() <= BROADCAST_ROWS else tokens, "token").join(near.select(*carried), "node")
     held = staged(held.select("token", *carried), "held")
+    drop_staged(tokens)
     x = held.select(F.col("token").alias("tokenx"), *[F.col(c).alias(f"{c}x") for c in carried])
     y = held.select(F.col("token").alias("tokeny"), *[F.col(c).alias(f"{c}y") for c in carried])
     flipped = sum((F.bit_count(F.col(f"{o}x").bitwiseXOR(F.col(f"{o}y"))) for o in PARITY), F.lit(0))
@@ -239,10 +243,14 @@ def link_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         & (100 * F.least("nx", "ny") >= similarity * F.greatest("nx", "ny"))
         & ((100 + similarity) * flipped <= (100 - similarity) * (F.col("nx") + F.col("ny"))),
     ).select(F.col("nodex").alias("x"), F.col("nodey").alias("y")).distinct()
-    pairs = staged(pairs, "candidates")
+    candidates = staged(pairs, "candidates")
+    drop_staged(held)
     bx, by = (classes.select(F.col("node").alias(e), F.col("b").alias(f"b{e}"), F.col("c").alias(f"c{e}")) for e in "xy")
-    pairs = pairs.join(bx, "x").join(by, "y").where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y")
-    links = _verified(staged(pairs, "ordered"), classes, docs, firsts, width, similarity, "pairs")
+    pairs = candidates.join(bx, "x").join(by, "y").where(F.arrays_overlap("bx", "by") & F.arrays_overlap("cx", "cy")).select("x", "y")
+    pairs = staged(pairs, "ordered")
+    drop_staged(candidates)
+    links = _verified(pairs, classes, docs, firsts, width, similarity, "pairs")
+    drop_staged(classes)
 
     found = staged(components(joined.toDF("x", "y").union(links)), "components")
     smallest = found.join(firsts, "node").groupBy("component").agg(F.min("doc").alias("component_id"))

@@ -466,3 +466,19 @@ def test_distinct_ids():
     for n in (0, 1, 2, 1024):
         ids = rng.integers(0, 700, n).astype(np.uint16)
         assert packing._distinct(ids).tolist() == sorted(set(ids.tolist()))
+
+
+def test_near_copies_leave_no_large_tables_behind(spark):
+    """What only the next step reads is deleted once that is written."""
+    from pathlib import Path
+
+    from querytide.session import new_path
+
+    folder = Path(new_path(spark, "x").removeprefix("file:")).parent
+    before = set(folder.glob("*"))
+    words = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, words), (2, words + " eleven"), (3, "something else altogether here now")], "doc_id long, text string")
+    assert sorted(r.doc_id for r in ngram_join.keep_representatives(docs, width=2, similarity=80).collect()) == [1, 3]
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("*")) - before}
+    assert {"sets", "linked"} <= left
+    assert left.isdisjoint({"prefixes", "keyed", "held", "candidates", "ordered", "stars-sets", "pairs-sets"})
